@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import exact, simhash
+from tessera.llm import bpe, exact, packing, simhash, sstable
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,11 +15,23 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.annotate(_table(spark, sf_dir, "documents"))
 
 
+def op2_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(_table(spark, sf_dir, "documents"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.annotate(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op3_exact_dedup)}
+def op5_sorted_table_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sstable.round_trip(_table(spark, sf_dir, "documents"))
+
+
+def op10_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_tree_bpe, op3_exact_dedup, op5_sorted_table_output, op10_mixture_packing)}
 
 SQL = {
     "op3_exact_dedup": r"""
