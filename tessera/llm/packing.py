@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.scratch import Scratch
-from tessera.llm.tokens import memo_encoder, vocabulary_file
+from tessera.llm.tokens import encoder, vocabulary_file
 
 LENGTH = 4096
 #: Sources below one in so many tokens share one last queue, so that a window has so many queues at most.
@@ -121,13 +121,13 @@ def _tokens(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text: str
     ``before``: tokens of the same source earlier in the same partition."""
 
     def run(batches):
-        encoder, part, before = memo_encoder(tokenizer, "word"), TaskContext.get().partitionId(), {}
-        end = np.array([end_id], encoder.kind).tobytes()
+        coder, part, before = encoder(tokenizer), TaskContext.get().partitionId(), {}
+        end = np.array([end_id], coder.kind).tobytes()
         for b in batches:
             for a in range(0, b.num_rows, 256):
                 some = b.slice(a, 256)
-                coded = [x.tobytes() + end for x in encoder.encode(some.column(2).to_pylist())]
-                n = [len(x) // encoder.kind.itemsize for x in coded]
+                coded = [x.tobytes() + end for x in coder.encode(some.column(2).to_pylist())]
+                n = [len(x) // coder.kind.itemsize for x in coded]
                 first = []
                 for s, m in zip(some.column(1).to_pylist(), n, strict=True):
                     first.append(before.get(s, 0))
@@ -148,7 +148,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2, length:
     spark, tokenizer = docs.sparkSession, tokenizer or vocabulary_file("word_bpe_49k.json")
     scratch = Scratch(spark, "packing")
     tokens = scratch.save(_tokens(docs, tokenizer, end_id, id_col, text, source), "tokens")
-    width = 2 if memo_encoder(tokenizer, "word").kind.itemsize == 2 else 4
+    width = 2 if encoder(tokenizer).kind.itemsize == 2 else 4
     parts = scratch.save(tokens.groupBy("part", "source").agg(F.sum("n").alias("n")), "parts")
     sums = parts.groupBy("source").agg(F.sum("n").alias("n"))
     total = parts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

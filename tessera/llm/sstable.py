@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.scratch import Scratch, row_mark
-from tessera.llm.tokens import memo_encoder, vocabulary_file
+from tessera.llm.tokens import encoder, vocabulary_file
 
 BLOCK = 64 << 10
 BITS_PER_KEY, PROBES = 10, 7
@@ -206,20 +206,20 @@ def write(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: in
     tokenizer = tokenizer or vocabulary_file("byte_bpe_50k.json")
 
     def run(batches):
-        encoder = memo_encoder(tokenizer, "byte")
-        end = np.array([end_id], encoder.kind)
+        coder = encoder(tokenizer)
+        end = np.array([end_id], coder.kind)
         stream = writer = first = None
         for b in batches:
             for a in range(0, b.num_rows, 64):
                 part = b.slice(a, 64)
-                coded = encoder.encode(part.column(2).to_pylist())
+                coded = coder.encode(part.column(2).to_pylist())
                 for doc_id, mark, ids in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), coded, strict=True):
                     if writer is None:
                         path = f"{folder}/{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.tsst"
                         fs, name = pafs.FileSystem.from_uri(path)
                         fs.create_dir(name.rpartition("/")[0], recursive=True)
                         stream = fs.open_output_stream(name, compression=None)
-                        writer, first = Writer(stream, encoder.kind.itemsize), key_of(doc_id, mark)
+                        writer, first = Writer(stream, coder.kind.itemsize), key_of(doc_id, mark)
                     writer.add(key_of(doc_id, mark), np.concatenate([ids, end]))
         if writer is not None:
             size = writer.finish()
