@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, exact, packing, secret_scan, simhash, sstable, toxicity
+from tessera.llm import bpe, exact, packing, page_text, secret_scan, simhash, sstable, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op7_inferred_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.annotate(_table(spark, sf_dir, "documents"))
 
 
+def op8_page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_text.extract(_table(spark, sf_dir, "pages"))
+
+
 def op9_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.annotate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -39,7 +43,7 @@ def op10_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_tree_bpe, op3_exact_dedup, op5_sorted_table_output, op7_inferred_secrets, op9_kneser_ney_toxicity, op10_mixture_packing)}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_tree_bpe, op3_exact_dedup, op5_sorted_table_output, op7_inferred_secrets, op8_page_differencing, op9_kneser_ney_toxicity, op10_mixture_packing)}
 
 SQL = {
     "op3_exact_dedup": r"""
