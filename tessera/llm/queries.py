@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, exact, packing, page_text, secret_scan, simhash, sstable, toxicity
+from tessera.llm import bpe, caps, exact, packing, page_text, secret_scan, simhash, sstable, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op5_sorted_table_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.round_trip(_table(spark, sf_dir, "documents"))
 
 
+def op6_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return caps.annotate(_table(spark, sf_dir, "embeddings"))
+
+
 def op7_inferred_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.annotate(_table(spark, sf_dir, "documents"))
 
@@ -43,7 +47,7 @@ def op10_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_tree_bpe, op3_exact_dedup, op5_sorted_table_output, op7_inferred_secrets, op8_page_differencing, op9_kneser_ney_toxicity, op10_mixture_packing)}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_tree_bpe, op3_exact_dedup, op5_sorted_table_output, op6_cap_filters, op7_inferred_secrets, op8_page_differencing, op9_kneser_ney_toxicity, op10_mixture_packing)}
 
 SQL = {
     "op3_exact_dedup": r"""
