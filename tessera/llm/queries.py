@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, caps, exact, packing, page_text, secret_scan, simhash, sstable, toxicity
+from tessera.llm import bpe, caps, exact, lm, packing, page_text, secret_scan, simhash, sstable, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.annotate(_table(spark, sf_dir, "documents"))
 
 
+def op4_attention_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.annotate(_table(spark, sf_dir, "documents"))
+
+
 def op5_sorted_table_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.round_trip(_table(spark, sf_dir, "documents"))
 
@@ -47,7 +51,7 @@ def op10_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_tree_bpe, op3_exact_dedup, op5_sorted_table_output, op6_cap_filters, op7_inferred_secrets, op8_page_differencing, op9_kneser_ney_toxicity, op10_mixture_packing)}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_tree_bpe, op3_exact_dedup, op4_attention_scores, op5_sorted_table_output, op6_cap_filters, op7_inferred_secrets, op8_page_differencing, op9_kneser_ney_toxicity, op10_mixture_packing)}
 
 SQL = {
     "op3_exact_dedup": r"""
