@@ -19,12 +19,18 @@ def write_answer_line(answers: DataFrame, order: str, value: str, path: str) ->
     answer_line(answers, order, value).coalesce(1).write.mode("overwrite").text(path)
 
 
+def _lines(rows: DataFrame, sep: str) -> DataFrame:
+    """Each row as one line; nulls are empty, nothing is quoted."""
+    return rows.select(F.concat_ws(sep, *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in rows.columns)).alias("line"))
+
+
 def write_ordered(rows: DataFrame, order: list[str], path: str, drop: list[str] | None = None, single: bool = False, sep: str = ",") -> None:
     """Write rows in order; part files sort by name.  ``single`` makes one file, for small results."""
     out = (rows.coalesce(1) if single else rows).orderBy(*order)
-    out = out.drop(*(drop or []))
-    (out.coalesce(1) if single else out).write.mode("overwrite").csv(path, sep=sep, quote="", escape="", emptyValue="")
+    out = _lines(out.drop(*(drop or [])), sep)
+    (out.coalesce(1) if single else out).write.mode("overwrite").text(path)
 
 
 def write_unordered(rows: DataFrame, path: str, single: bool = False, sep: str = ",") -> None:
-    (rows.coalesce(1) if single else rows).write.mode("overwrite").csv(path, sep=sep, quote="", escape="", emptyValue="")
+    out = _lines(rows, sep)
+    (out.coalesce(1) if single else out).write.mode("overwrite").text(path)
