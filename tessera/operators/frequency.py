@@ -27,10 +27,14 @@ def block_counts(events: DataFrame, size: int) -> DataFrame:
 def window_running(events: DataFrame, window: int) -> DataFrame:
     """Every event with the count of its key among the last ``window`` events, itself included.
 
-    A range frame over consecutive numbers: equal to a count of rows of the whole stream.
+    Events are cut into stretches of ``window`` numbers and each also goes to the stretch after its
+    own, where it precedes others: a frame then lies within one stretch, and no window partition
+    holds more than 2 ``window`` events, however hot its key.
     """
-    order = Window.partitionBy("key").orderBy("seq").rangeBetween(-(window - 1), 0)
-    return events.select("seq", "key", F.count(F.lit(1)).over(order).alias("n"))
+    own = F.expr(f"seq div {window}")
+    spread = events.select("seq", "key", own.alias("own"), F.explode(F.array(own, own + 1)).alias("stretch"))
+    order = Window.partitionBy("key", "stretch").orderBy("seq").rangeBetween(-(window - 1), 0)
+    return spread.withColumn("n", F.count(F.lit(1)).over(order)).where("own = stretch").select("seq", "key", "n")
 
 
 def window_exact(events: DataFrame, queries: DataFrame, block: int = EXACT_BLOCK) -> DataFrame:
