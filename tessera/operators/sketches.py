@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.hashing import linear, seeds
+from tessera.operators.joins import counts_up_to
 
 LIMIT_BYTES = 10_000_000
 
@@ -73,3 +74,23 @@ def guarded_estimate(sketch: DataFrame, filter_bits: DataFrame, queries: DataFra
     member = bloom_contains(filter_bits, queries, key, bits, hashes)
     est = count_min_estimate(sketch, member, key, depth, width)
     return est.select(*queries.columns, F.when(F.col("member"), F.col("est")).otherwise(F.lit(0).cast("bigint")).alias("est"))
+
+
+def estimate_at(events: DataFrame, queries: DataFrame, depth: int, width: int, bits: int, hashes: int, block: int = 4_096) -> DataFrame:
+    """``queries(t, key)`` with ``est``: the guarded estimate of sketches that hold the events up to t.
+
+    ``events(seq, key)``.  A counter's value at t is how often its (row, cell) was hit up to t, and
+    a bit is set at t if its first hit is no later.
+    """
+    asked = queries.select("t", "key").distinct()
+    cell = (F.col("row") * width + F.col("cell")).alias("key")
+    hits = _hashed(events.select("seq", "key"), "key", depth, width, 12345, "cell").select("seq", cell)
+    probes = _hashed(asked, "key", depth, width, 12345, "cell").select("t", F.col("key").alias("asked"), cell)
+    points = probes.select("key", F.col("t").alias("seq")).distinct().withColumn("id", F.xxhash64("key", "seq"))
+    counted = points.join(counts_up_to(hits, points, block), "id").select("key", F.col("seq").alias("t"), "n")
+    est = probes.join(counted, ["key", "t"]).groupBy("t", F.col("asked").alias("key")).agg(F.min("n").alias("low"))
+    since = _hashed(events.groupBy("key").agg(F.min("seq").alias("seq")), "key", hashes, bits, 54321, "pos").groupBy("pos").agg(F.min("seq").alias("since"))
+    bit = _hashed(asked, "key", hashes, bits, 54321, "pos").join(since, "pos", "left")
+    member = bit.groupBy("t", "key").agg((F.count(F.when(F.col("since") <= F.col("t"), 1)) == F.count(F.lit(1))).alias("member"))
+    found = est.join(member, ["t", "key"]).select("t", "key", F.when(F.col("member"), F.col("low")).otherwise(F.lit(0).cast("bigint")).alias("est"))
+    return queries.join(found, ["t", "key"])

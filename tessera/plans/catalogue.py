@@ -290,6 +290,16 @@ def cm_with_bloom(spark, sf):
     return sketches.guarded_estimate(_count_min(spark, sf), _bloom(spark, sf), _asked(spark, sf), "key", PLAN["depth"], PLAN["width"], PLAN["bits"], PLAN["hashes"])
 
 
+_AT = f"""{_Q}, cm AS ({_CM.format(t='e')}), first AS (SELECT pos, min(seq) AS since FROM (SELECT * FROM ({_BF.format(t='e')}) JOIN (SELECT key, min(seq) AS seq FROM e GROUP BY 1) USING (key)) GROUP BY 1),
+est AS (SELECT t, key, min(n) AS low FROM (SELECT p.t, p.key, p.row, (SELECT count(*) FROM hit WHERE hit.row = p.row AND hit.cell = p.cell AND hit.seq <= p.t) AS n FROM ({_CM.format(t='q').replace(', key FROM', ', key, t FROM')}) p) GROUP BY 1, 2),
+mem AS (SELECT t, key, count(CASE WHEN since <= t THEN 1 END) = count(*) AS member FROM ({_BF.format(t='q').replace(', key FROM', ', key, t FROM')}) p LEFT JOIN first USING (pos) GROUP BY 1, 2)"""
+
+
+@register(f"WITH hit AS ({_CM.format(t='(SELECT event_id AS seq, user_id AS key FROM events)').replace(', key FROM', ', seq FROM')}), {_AT} SELECT t, key, CASE WHEN member THEN low ELSE 0 END AS est FROM est JOIN mem USING (t, key)")
+def cm_point_in_time(spark, sf):
+    return sketches.estimate_at(_stream(spark, sf), _queries(spark, sf).drop("w"), PLAN["depth"], PLAN["width"], PLAN["bits"], PLAN["hashes"])
+
+
 # -- addresses and ranges -----------------------------------------------------------------------
 
 _IP = "(user_id * 2654435761) % 4294967296"
