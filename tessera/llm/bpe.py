@@ -25,6 +25,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.scratch import slices
 from tessera.llm.tokens import ranks, vocabulary_file
 
 LEAF = 16_384
@@ -129,7 +130,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
 
     def run(batches):
         c = codec(path, pattern)
-        for b in batches:
+        for b in slices(batches):
             ids = [c.encode(t or "") for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], [id_col, "ids"])
 
@@ -142,7 +143,7 @@ def decode(coded: DataFrame, path: str, pattern: str, id_col: str = "doc_id", id
 
     def run(batches):
         c = codec(path, pattern)
-        for b in batches:
+        for b in slices(batches):
             out = [None if x is None else c.decode(x) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], [id_col, "text"])
 
@@ -161,7 +162,7 @@ def digests(docs: DataFrame, path: str | None = None, pattern: str | None = None
 
     def run(batches):
         c = codec(path, pattern)
-        for b in batches:
+        for b in slices(batches):
             n, coded, back = [], [], []
             for t in b.column(1).to_pylist():
                 ids = c.encode(t or "")

@@ -49,6 +49,13 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def slices(batches, rows: int = 256):
+    """Arrow batches in pieces of so many rows, so that only a piece's texts are Python objects at a time."""
+    for b in batches:
+        for a in range(0, b.num_rows, rows):
+            yield b.slice(a, rows)
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """Names like the given ones that no column of ``df`` has (names compare without case)."""
     taken = {c.lower() for c in df.columns}

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.scratch import Scratch
+from tessera.llm.scratch import Scratch, slices
 
 KINDS = ("assign", "access", "hex", "format")
 _ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -168,7 +168,7 @@ def train(docs: DataFrame, text: str = "text") -> Formats:
     """
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             rows = set()
             for t in b.column(0).to_pylist():
                 if t:
@@ -200,7 +200,7 @@ def annotate(docs: DataFrame, formats: Formats | None = None, id_col: str = "doc
     model = formats or train(docs, text)
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             out = []
             for t in b.column(1).to_pylist():
                 spans = model.spans(t or "")
@@ -231,7 +231,7 @@ def redact(docs: DataFrame, formats: Formats | None = None, text: str = "text",
         return "".join([*out, t[end:]])
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             yield pa.RecordBatch.from_arrays([pa.array(map(clean, c.to_pylist()), pa.string()) if i == at else c for i, c in enumerate(b.columns)], names)
 
     return docs.mapInArrow(run, docs.schema)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.components import components
-from tessera.llm.scratch import Scratch, keep_winners, row_mark, winners
+from tessera.llm.scratch import Scratch, keep_winners, row_mark, slices, winners
 
 SHINGLE = 3
 MAX_BITS = 2
@@ -51,7 +51,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", si
     """``(id, mark, fp)``: a document's fingerprint as a signed 64-bit integer."""
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             fps = np.array([fingerprint(t, size) for t in b.column(2).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps.view(np.int64))], ["id", "mark", "fp"])
 

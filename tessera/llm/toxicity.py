@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tessera.llm.scratch import Scratch, unused
+from tessera.llm.scratch import Scratch, slices, unused
 
 #: Labelled documents the models are fitted on at most: those whose id hashes lowest.
 LABELLED = 20_000
@@ -139,7 +139,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     halves = [model(0), model(1)]
 
     def held(batches):
-        for b in batches:
+        for b in slices(batches):
             rows = [(halves[1 - fold].evidence(t), float(y)) for t, y, fold in zip(*(c.to_pylist() for c in b.columns), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.float64()) for i in (0, 1)], ["x", "y"])
 
@@ -155,7 +155,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     at, names = docs.columns.index(text), [*docs.columns, name]
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(map(model.score, b.column(at).to_pylist()), pa.float64())], names)
 
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
