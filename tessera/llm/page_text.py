@@ -21,8 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.scratch import slices
 
-GROUP = 1_000
+GROUP = 200
 #: Rows of the table of large directories up to which it is broadcast.
 BROADCAST_ROWS = 50_000
 
@@ -136,7 +137,7 @@ def _address(url: str):
     return host, path, F.regexp_extract(path, r"^(.*/)[^/]+/?$", 1)
 
 
-PARTS = "frame array<string>, boxed array<boolean>, places array<int>, body array<string>, has_article boolean"
+PARTS = "frame array<string>, boxed array<boolean>, body array<string>, has_article boolean"
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
@@ -149,16 +150,15 @@ def extract(pages: DataFrame, id_col: str = "page_id", url: str = "url", page: s
     rows = pages.select(F.col(id_col).alias("p_id"), F.col(url).alias("p_url"), host.alias("host"), path.alias("path"), folder.alias("folder"), F.col(page).alias("html"))
 
     def parse(batches):
-        for b in batches:
-            frames, boxes, places, bodies, has = [], [], [], [], []
+        for b in slices(batches):
+            frames, boxes, bodies, has = [], [], [], []
             for doc in b.column(5).to_pylist():
                 found = blocks(doc)
                 frames.append([t for t, a, _ in found if not a])
                 boxes.append([x for _, a, x in found if not a])
-                places.append([i for i, (_, a, _) in enumerate(found) if not a])
                 bodies.append([t for t, a, x in found if a and not x])
                 has.append(any(a for _, a, _ in found))
-            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(frames, pa.list_(pa.string())), pa.array(boxes, pa.list_(pa.bool_())), pa.array(places, pa.list_(pa.int32())), pa.array(bodies, pa.list_(pa.string())), pa.array(has, pa.bool_())], ["p_id", "p_url", "host", "path", "folder", "frame", "boxed", "places", "body", "has_article"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(frames, pa.list_(pa.string())), pa.array(boxes, pa.list_(pa.bool_())), pa.array(bodies, pa.list_(pa.string())), pa.array(has, pa.bool_())], ["p_id", "p_url", "host", "path", "folder", "frame", "boxed", "body", "has_article"])
 
     id_kind = rows.schema[0].dataType.simpleString()
     parsed = rows.mapInArrow(parse, f"p_id {id_kind}, p_url string, host string, path string, folder string, {PARTS}")
@@ -171,7 +171,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url: str = "url", page: s
     paired = grouped.withColumn("near", F.coalesce(F.lag("frame").over(order), F.lead("frame").over(order)))
 
     def finish(batches):
-        for b in batches:
+        for b in slices(batches):
             texts = []
             for frame, boxed, body, has, near in zip(*(c.to_pylist() for c in b.columns[2:]), strict=True):
                 gone = shared_lines(frame, near) if near else set()
