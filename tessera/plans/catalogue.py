@@ -178,14 +178,14 @@ def skyline_dc_three(spark, sf):
     return skyline.skyline_local_global(rows, ["l_discount", "l_tax", "l_extendedprice"])
 
 
-@register("""SELECT a.s_suppkey AS x, b.s_suppkey AS y FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey
-WHERE NOT (a.s_nationkey <= b.s_nationkey AND a.s_acctbal <= b.s_acctbal AND (a.s_nationkey < b.s_nationkey OR a.s_acctbal < b.s_acctbal))
-AND NOT (b.s_nationkey <= a.s_nationkey AND b.s_acctbal <= a.s_acctbal AND (b.s_nationkey < a.s_nationkey OR b.s_acctbal < a.s_acctbal))
-AND a.s_suppkey <= 20 AND b.s_suppkey <= 20""")
+@register("""SELECT a.n_nationkey AS x, b.n_nationkey AS y FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey
+WHERE NOT (a.n_regionkey <= b.n_regionkey AND a.n_name <= b.n_name AND (a.n_regionkey < b.n_regionkey OR a.n_name < b.n_name))
+AND NOT (b.n_regionkey <= a.n_regionkey AND b.n_name <= a.n_name AND (b.n_regionkey < a.n_regionkey OR b.n_name < a.n_name))""")
 def skyline_incomparable(spark, sf):
-    """Pairs among the twenty first suppliers: a report on the predicate itself."""
-    s = table(spark, sf, "supplier").where("s_suppkey <= 20")
-    a, b = (s.select(F.col("s_suppkey").alias(n), F.col("s_nationkey").alias(f"{n}1"), F.col("s_acctbal").alias(f"{n}2")) for n in "xy")
+    """Pairs of nations neither of which comes first in both region and name: a report on the
+    predicate itself, over a table of fixed size."""
+    s = table(spark, sf, "nation")
+    a, b = (s.select(F.col("n_nationkey").alias(n), F.col("n_regionkey").alias(f"{n}1"), F.col("n_name").alias(f"{n}2")) for n in "xy")
     return a.join(b, (F.col("x") < F.col("y")) & skyline.incomparable([F.col("x1"), F.col("x2")], [F.col("y1"), F.col("y2")])).select("x", "y")
 
 
