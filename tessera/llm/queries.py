@@ -62,4 +62,18 @@ SQL = {
                doc_id = min(doc_id) OVER g AS kept, text_sha256
         FROM d WINDOW g AS (PARTITION BY text_sha256)
     """,
+    # exact, by all pairs; the filters find nearly all of them (tests/llm/test_caps.py measures how many)
+    "op6_cap_filters": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+        usable AS (
+            SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS n FROM v
+            WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_dot_product(e, e) > 0),
+        link AS (
+            SELECT a.vec_id AS u, b.vec_id AS w FROM usable a JOIN usable b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+            WHERE list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.9),
+        reach AS (SELECT vec_id AS u, vec_id AS w FROM v UNION SELECT reach.u, link.w FROM reach JOIN link ON reach.w = link.u)
+        SELECT vec_id, (SELECT count(*) FROM link WHERE u = vec_id) AS n_links, min(w) AS component_id, vec_id = min(w) AS kept
+        FROM v JOIN reach ON reach.u = vec_id GROUP BY vec_id
+    """,
 }
