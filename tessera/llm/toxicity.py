@@ -113,7 +113,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     sample = scratch.save(texts.select("text", "y", F.pmod(F.xxhash64("l_id"), F.lit(2)).cast("int").alias("fold")), "sample")
 
     def count(batches):
-        for b in batches:
+        for b in slices(batches, 2_000):
             n: dict[tuple, list[int]] = {}
             for t, y, fold in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 found = set(words(t))
