@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.joins import counts_up_to
+from tessera.operators.joins import count_terms
 
 #: Events of a block when counts are taken exactly.
 EXACT_BLOCK = 4_096
@@ -43,19 +43,17 @@ def window_exact(events: DataFrame, queries: DataFrame, block: int = EXACT_BLOCK
     The difference of two counts from the start, so that a hot key's events never meet in a task.
     """
     ends = F.explode(F.array(F.struct(F.lit(1).alias("sign"), F.col("t").alias("at")), F.struct(F.lit(-1).alias("sign"), (F.col("t") - F.col("w")).alias("at")))).alias("end")
-    points = queries.distinct().select("t", "key", "w", ends).select("t", "key", "w", "end.sign", F.col("end.at").alias("seq"))
-    ids = points.select("key", "seq").distinct().withColumn("id", F.xxhash64("key", "seq"))
-    counted = ids.join(counts_up_to(events, ids, block), "id")
-    both = points.join(counted.select("key", "seq", "n"), ["key", "seq"])
-    found = both.groupBy("t", "key", "w").agg(F.sum(F.col("sign") * F.col("n")).alias("n"))
-    return queries.join(found, ["t", "key", "w"])
+    points = queries.distinct().select("t", "key", "w", ends)
+    points = points.select(F.struct("t", "key", "w", "end.sign").alias("id"), "key", F.col("end.at").alias("seq"))
+    terms = count_terms(events, points, block).groupBy("id.t", "id.key", "id.w")
+    return queries.join(terms.agg(F.sum(F.col("id.sign") * F.col("x")).alias("n")), ["t", "key", "w"])
 
 
 def point_frequency(events: DataFrame, queries: DataFrame, block: int = EXACT_BLOCK) -> DataFrame:
     """``queries(t, key)`` with ``n``: events of the key up to and with t."""
-    points = queries.select("key", F.col("t").alias("seq")).distinct().withColumn("id", F.xxhash64("key", "seq"))
-    counted = points.join(counts_up_to(events, points, block), "id").select("key", F.col("seq").alias("t"), "n")
-    return queries.join(counted, ["key", "t"])
+    points = queries.distinct().select(F.struct("t", "key").alias("id"), "key", F.col("t").alias("seq"))
+    found = count_terms(events, points, block).groupBy("id.t", "id.key").agg(F.sum("x").alias("n"))
+    return queries.join(found, ["key", "t"])
 
 
 def jumping_window(events: DataFrame, queries: DataFrame, window: int, error: float) -> DataFrame:

@@ -53,9 +53,9 @@ def grouped_values(s: DataFrame, key: str = "b", value: str = "c") -> DataFrame:
 
 
 def _before(parts: DataFrame, marks: DataFrame, block: int, fold, merge) -> DataFrame:
-    """``(id, near, far)``: what ``fold`` makes of ``parts(key, blk, x)`` before each mark's block.
+    """``(id, x)``, two rows for each mark: what ``fold`` makes of ``parts(key, blk, x)`` before it.
 
-    ``near`` comes from the blocks of the mark's own run of ``block`` blocks, ``far`` from whole
+    One row comes from the blocks of the mark's own run of ``block`` blocks, the other from whole
     runs before it, each merged to one row first, so that neither window holds a key's history.
     """
     parts, marks = (f.withColumn("run", F.floor(F.col("blk") / F.lit(block)).cast("bigint")) for f in (parts, marks))
@@ -63,36 +63,40 @@ def _before(parts: DataFrame, marks: DataFrame, block: int, fold, merge) -> Data
     none = F.lit(None).cast(marks.schema["id"].dataType)
     inner = parts.select("key", "run", "blk", "x", none.alias("id")).unionByName(marks.select("key", "run", "blk", nothing.alias("x"), "id"))
     order = Window.partitionBy("key", "run").orderBy("blk").rangeBetween(Window.unboundedPreceding, -1)
-    near = inner.withColumn("near", fold("x").over(order)).where("id IS NOT NULL").select("id", "near")
+    near = inner.withColumn("x", fold("x").over(order)).where("id IS NOT NULL").select("id", "x")
     runs = parts.groupBy("key", "run").agg(merge.alias("x"))
     outer = runs.select("key", "run", "x", none.alias("id")).unionByName(marks.select("key", "run", nothing.alias("x"), "id"))
     order = Window.partitionBy("key").orderBy("run").rangeBetween(Window.unboundedPreceding, -1)
-    far = outer.withColumn("far", fold("x").over(order)).where("id IS NOT NULL").select("id", "far")
-    return near.join(far, "id")
+    return near.unionByName(outer.withColumn("x", fold("x").over(order)).where("id IS NOT NULL").select("id", "x"))
 
 
-def counts_up_to(events: DataFrame, points: DataFrame, block: int) -> DataFrame:
-    """``(id, n)``: how many events of a point's key have ``seq`` up to the point's.
+def count_terms(events: DataFrame, points: DataFrame, block: int) -> DataFrame:
+    """``(id, x)`` rows whose sum for each id is the count of the point's key up to its ``seq``.
 
-    ``events(key, seq)``, ``points(id, key, seq)`` with unique ids; a negative seq counts none.
-    Events are counted by (key, block of seq), running sums over these counts give the blocks
-    before a point's, and an equi-join on (key, block) the rest.  No key's events meet in one
-    task, only its blocks do, and no point meets more than one block of events.
+    ``events(key, seq)``, ``points(id, key, seq)`` with unique ids of any type; a negative seq
+    counts none, and every id has a row.  Events are counted by (key, block of seq), running sums
+    over these counts give the blocks before a point's, and an equi-join on (key, block) the rest.
+    No key's events meet in one task, only its blocks do, and no point meets more than one block
+    of events.
     """
     blk = F.floor(F.col("seq") / F.lit(block)).cast("bigint")
     marked = events.select("key", "seq", blk.alias("blk"))
     at = points.select("id", "key", F.col("seq").alias("p_seq"), blk.alias("blk"))
     sums = marked.groupBy("key", "blk").agg(F.count(F.lit(1)).alias("x"))
     before = _before(sums, at.select("key", "blk", "id"), block, F.sum, F.sum("x"))
-    inside = at.join(marked, ["key", "blk"]).where("seq <= p_seq").groupBy("id").agg(F.count(F.lit(1)).alias("inside"))
-    zero = F.lit(0).cast("bigint")
-    return before.join(inside, "id", "left").select("id", (F.coalesce("near", zero) + F.coalesce("far", zero) + F.coalesce("inside", zero)).alias("n"))
+    inside = at.join(marked, ["key", "blk"]).where("seq <= p_seq").select("id", F.lit(1).cast("bigint").alias("x"))
+    return before.select("id", F.coalesce("x", F.lit(0).cast("bigint")).alias("x")).unionByName(inside)
+
+
+def counts_up_to(events: DataFrame, points: DataFrame, block: int) -> DataFrame:
+    """``(id, n)``: how many events of a point's key have ``seq`` up to the point's (see ``count_terms``)."""
+    return count_terms(events, points, block).groupBy("id").agg(F.sum("x").alias("n"))
 
 
 def as_of(points: DataFrame, versions: DataFrame, block: int) -> DataFrame:
     """``points(id, key, seq)`` with ``(wts, value)`` of the key's latest version up to seq, or nulls.
 
-    The same levels as ``counts_up_to``: the latest version of each (key, block), carried forward,
+    The same levels as ``count_terms``: the latest version of each (key, block), carried forward,
     and an equi-join within the point's own block.
     """
     held = versions.select("key", "wts", "value", F.floor(F.col("wts") / F.lit(block)).cast("bigint").alias("blk"))
@@ -100,6 +104,6 @@ def as_of(points: DataFrame, versions: DataFrame, block: int) -> DataFrame:
     pair = F.struct("wts", "value")
     last = held.groupBy("key", "blk").agg(F.max_by(pair, "wts").alias("x"))
     carried = _before(last, at.select("key", "blk", "id"), block, lambda c: F.last(c, ignorenulls=True), F.max_by("x", "blk"))
-    inside = at.join(held, ["key", "blk"]).where("wts <= seq").groupBy("id").agg(F.max_by(pair, "wts").alias("inside"))
-    found = points.join(carried, "id", "left").join(inside, "id", "left").withColumn("found", F.coalesce("inside", "near", "far"))
-    return found.select(*points.columns, F.col("found.wts").alias("wts"), F.col("found.value").alias("value"))
+    inside = at.join(held, ["key", "blk"]).where("wts <= seq").select("id", pair.alias("x"))
+    found = carried.where("x IS NOT NULL").unionByName(inside).groupBy("id").agg(F.max_by("x", "x.wts").alias("found"))
+    return points.join(found, "id", "left").select(*points.columns, F.col("found.wts").alias("wts"), F.col("found.value").alias("value"))

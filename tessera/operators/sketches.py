@@ -86,8 +86,8 @@ def estimate_at(events: DataFrame, queries: DataFrame, depth: int, width: int, b
     cell = (F.col("row") * width + F.col("cell")).alias("key")
     hits = _hashed(events.select("seq", "key"), "key", depth, width, 12345, "cell").select("seq", cell)
     probes = _hashed(asked, "key", depth, width, 12345, "cell").select("t", F.col("key").alias("asked"), cell)
-    points = probes.select("key", F.col("t").alias("seq")).distinct().withColumn("id", F.xxhash64("key", "seq"))
-    counted = points.join(counts_up_to(hits, points, block), "id").select("key", F.col("seq").alias("t"), "n")
+    points = probes.select("key", F.col("t").alias("seq")).distinct().withColumn("id", F.struct("key", "seq"))
+    counted = counts_up_to(hits, points, block).select("id.key", F.col("id.seq").alias("t"), "n")
     est = probes.join(counted, ["key", "t"]).groupBy("t", F.col("asked").alias("key")).agg(F.min("n").alias("low"))
     since = _hashed(events.groupBy("key").agg(F.min("seq").alias("seq")), "key", hashes, bits, 54321, "pos").groupBy("pos").agg(F.min("seq").alias("since"))
     bit = _hashed(asked, "key", hashes, bits, 54321, "pos").join(since, "pos", "left")
