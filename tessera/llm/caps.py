@@ -235,8 +235,8 @@ def annotate(vectors: DataFrame, id_col: str = "vec_id", vec: str = "embedding")
     named = table.select("cid", "h1", "h2", "low", "mult").join(roots, F.col("cid") == F.col("node"), "left").withColumn("top", F.coalesce("root", "cid"))
     named = named.join(links, F.col("cid") == F.col("k_cid"), "left")
     named = scratch.save(named.select("h1", "h2", "low", "top", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n")), "named")
-    lowest = named.groupBy(F.col("top").alias("l_top")).agg(F.min("low").alias("component"))
-    named = scratch.save(named.join(lowest, F.col("top") == F.col("l_top")).select("h1", "h2", "n", "component"), "classes_named")
+    lowest = scratch.save(named.groupBy(F.col("top").alias("l_top")).agg(F.min("low").alias("component")), "lowest")
+    named = scratch.save(named.join(lowest.hint("merge"), F.col("top") == F.col("l_top")).select("h1", "h2", "n", "component"), "classes_named")
     rows = vectors.select(F.col(id_col).alias("id"), F.when(_usable(vec), F.xxhash64(vec)).alias("v1"), F.hash(vec).alias("v2"))
     joined = rows.join(named.hint("merge"), (F.col("v1") == F.col("h1")) & (F.col("v2") == F.col("h2")), "left")
     component = F.when(F.col("h1").isNull(), F.col("id")).otherwise(F.col("component"))

@@ -103,8 +103,8 @@ def annotate(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Dat
     """
     scratch = Scratch(docs.sparkSession, "simhash")
     members, classes = group(docs, scratch, id_col, text)
-    lowest = classes.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = scratch.save(classes.join(lowest, "root").select("fp", "component_id"), "named")
+    lowest = scratch.save(classes.groupBy("root").agg(F.min("low").alias("component_id")), "lowest")
+    named = scratch.save(classes.join(lowest.hint("merge"), "root").select("fp", "component_id"), "named")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return members.join(named.hint("merge"), "fp").select(F.col("id").alias(id_col), hexed.alias("fingerprint"), "component_id")
 
