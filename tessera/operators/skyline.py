@@ -54,16 +54,13 @@ def skyline_sorted(rows: DataFrame, x: str, y: str) -> DataFrame:
 
 def _block_skyline(values: np.ndarray) -> np.ndarray:
     """Positions of the undominated rows, duplicates kept."""
-    order = np.lexsort(values.T[::-1])
-    window = np.empty((0, values.shape[1]))
-    kept: list[int] = []
-    for i in order:  # in lexicographic order nothing later dominates anything earlier
-        v = values[i]
-        if len(window) and ((window <= v).all(1) & (window < v).any(1)).any():
-            continue
-        kept.append(i)
-        window = np.vstack([window, v])
-    return np.sort(np.array(kept, int))
+    rest = np.lexsort(values.T[::-1])
+    kept = []
+    while len(rest):  # the lexicographically first row of those left is dominated by none
+        left, first = values[rest], values[rest[0]]
+        kept.append(rest[(left == first).all(1)])
+        rest = rest[~(first <= left).all(1)]
+    return np.sort(np.concatenate([*kept, np.zeros(0, int)]))
 
 
 def skyline_local_global(rows: DataFrame, columns: list[str], block: int = BLOCK) -> DataFrame:
