@@ -1,12 +1,14 @@
 """Main text of web pages by differencing pages that lie near each other.
 
 A page becomes lines (blocks of text) that know which containers they stand in.  Pages are paired
-by URL path within their host: each page meets the one before it in path order (the first of a
-group the one after).  The lines outside articles, the page's frame, are aligned with the
-neighbour's by longest common subsequence and what both share is deleted.  The markup settles what
-the difference leaves: lines in menus, headers, footers, sidebars, notices, adverts, forms and
-comments go, and where a page has an article only the article stays.  Lines of an article are
-never deleted for being shared, since copies and near copies of articles are articles too.
+by URL path within their host: each page meets up to two pages before and two after it in path
+order whose frames differ from its own and from each other's.  The lines outside the article, the
+page's frame, are aligned with each neighbour's by longest common subsequence; a line goes when one
+or two neighbours share it all, or three of four (two of three) do, so that a near copy next door
+takes no text away.  The markup settles what the difference leaves: lines in menus, headers,
+footers, sidebars, notices, adverts, forms and comments go.  On a page with exactly one article
+outside such boxes only the article stays, whatever its neighbours share; then the output is that
+of the markup alone.  Articles in boxes are no articles, and several (teaser cards) decide nothing.
 
 A directory of a host with more than ``GROUP`` pages is dealt into groups by a hash of the path, so
 no host is one task's work and every group is bounded.
@@ -16,6 +18,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -38,17 +41,17 @@ _BOX_NAME = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banne
 _CONTAINERS = {"div", "section", "ul", "ol", "p", "table", "span", "li", "dl", "figure", "main", "article"}
 
 
-def blocks(page: str | None) -> list[tuple[str, bool, bool]]:
-    """``(text, in an article, in a box that isn't main text)`` of each block, in page order.
+def blocks(page: str | None) -> list[tuple[str, int, bool]]:
+    """``(text, number of the outermost article or 0, in a box that isn't main text)`` of each block, in page order.
 
     Character references are decoded, white space runs are one space, empty blocks are left out.
     A header inside an article is the article's own.  Unclosed tags end with their container.
     """
-    out: list[tuple[str, bool, bool]] = []
+    out: list[tuple[str, int, bool]] = []
     if not page:
         return out
-    stack: list[tuple[str, bool, bool]] = []  # tag, article, box
-    article = box = False
+    stack: list[tuple[str, int, bool]] = []  # tag, article, box
+    articles, article, box = 0, 0, False
     parts: list[str] = []
 
     def flush() -> None:
@@ -93,7 +96,10 @@ def blocks(page: str | None) -> list[tuple[str, bool, bool]]:
         if boxed and tag == "span":
             flush()
         stack.append((tag, article, box))
-        article, box = article or tag == "article", box or boxed
+        if tag == "article" and not article:
+            articles += 1
+            article = articles
+        box = box or boxed
     flush()
     return out
 
@@ -129,6 +135,18 @@ def shared_lines(mine: list[str], other: list[str]) -> set[int]:
     return found
 
 
+def _frame_lines(mine: list[str], near: list[list[str] | None]) -> set[int]:
+    """Positions in ``mine`` of lines that the neighbours share: all of one or two, all but one of more."""
+    others, seen = [], {tuple(mine)}
+    for x in near:
+        if x is not None and tuple(x) not in seen:
+            seen.add(tuple(x))
+            others.append(x)
+    n = Counter(i for x in others for i in shared_lines(mine, x))
+    need = len(others) - (len(others) > 2)
+    return {i for i, k in n.items() if k >= need}
+
+
 def _address(url: str):
     """Host, path without query and fragment, and the path's directory, of a URL column."""
     u = F.coalesce(F.col(url), F.lit(""))
@@ -143,8 +161,9 @@ PARTS = "frame array<string>, boxed array<boolean>, body array<string>, has_arti
 def extract(pages: DataFrame, id_col: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
     """One row per page: id, url, ``text``, ``n_chars``.
 
-    A null or empty page has empty text.  Null URLs are one host.  Repeated rows are pages of
-    their own and, being equal, cancel only lines outside articles.  Extra columns are ignored.
+    A null or empty page has empty text.  Null URLs are one host.  Pages with equal frames under
+    other ids or URLs keep their text; of a row repeated with its id and URL only one keeps lines
+    outside articles.  Extra columns are ignored.
     """
     host, path, folder = _address(url)
     rows = pages.select(F.col(id_col).alias("p_id"), F.col(url).alias("p_url"), host.alias("host"), path.alias("path"), folder.alias("folder"), F.col(page).alias("html"))
@@ -154,10 +173,12 @@ def extract(pages: DataFrame, id_col: str = "page_id", url: str = "url", page: s
             frames, boxes, bodies, has = [], [], [], []
             for doc in b.column(5).to_pylist():
                 found = blocks(doc)
-                frames.append([t for t, a, _ in found if not a])
-                boxes.append([x for _, a, x in found if not a])
-                bodies.append([t for t, a, x in found if a and not x])
-                has.append(any(a for _, a, _ in found))
+                one = {a for _, a, x in found if a and not x}
+                one = one if len(one) == 1 else set()
+                frames.append([t for t, a, _ in found if a not in one])
+                boxes.append([x for _, a, x in found if a not in one])
+                bodies.append([t for t, a, x in found if a in one and not x])
+                has.append(bool(one))
             yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(frames, pa.list_(pa.string())), pa.array(boxes, pa.list_(pa.bool_())), pa.array(bodies, pa.list_(pa.string())), pa.array(has, pa.bool_())], ["p_id", "p_url", "host", "path", "folder", "frame", "boxed", "body", "has_article"])
 
     id_kind = rows.schema[0].dataType.simpleString()
@@ -167,19 +188,27 @@ def extract(pages: DataFrame, id_col: str = "page_id", url: str = "url", page: s
     large = F.broadcast(large) if large.count() <= BROADCAST_ROWS else large.hint("merge")
     grouped = parsed.join(large, (F.col("host") == F.col("l_host")) & (F.col("folder") == F.col("l_folder")), "left")
     grouped = grouped.withColumn("bucket", F.pmod(F.xxhash64("path"), F.coalesce("groups", F.lit(1))))
-    order = Window.partitionBy("host", "folder", "bucket").orderBy("path", "p_url", "p_id")
-    paired = grouped.withColumn("near", F.coalesce(F.lag("frame").over(order), F.lead("frame").over(order)))
+    group = Window.partitionBy("host", "folder", "bucket")
+    order = group.orderBy("path", "p_url", "p_id", "sig")
+    paired = grouped.withColumn("sig", F.xxhash64("frame"))
+    same = F.lag("sig").over(order).eqNullSafe(F.col("sig"))
+    again = same & F.lag("p_id").over(order).eqNullSafe(F.col("p_id")) & F.lag("p_url").over(order).eqNullSafe(F.col("p_url"))
+    paired = paired.withColumn("again", again).withColumn("starts", (~same).cast("int"))
+    paired = paired.withColumn("run", F.sum("starts").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = group.orderBy("run")
+    paired = paired.withColumn("near", F.array(*(F.first("frame").over(runs.rangeBetween(k, k)) for k in (-1, 1, -2, 2))))
 
     def finish(batches):
         for b in slices(batches):
             texts = []
-            for frame, boxed, body, has, near in zip(*(c.to_pylist() for c in b.columns[2:]), strict=True):
-                gone = shared_lines(frame, near) if near else set()
-                left = [t for i, t in enumerate(frame) if i not in gone and not boxed[i]]
-                texts.append("\n".join(body if has else left))
+            for frame, boxed, body, has, near, again in zip(*(c.to_pylist() for c in b.columns[2:]), strict=True):
+                if not has:
+                    gone = set(range(len(frame))) if again else _frame_lines(frame, near)
+                    body = [t for i, t in enumerate(frame) if i not in gone and not boxed[i]]
+                texts.append("\n".join(body))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], [id_col, url, "text", "n_chars"])
 
-    chosen = paired.select("p_id", "p_url", "frame", "boxed", "body", "has_article", "near")
+    chosen = paired.select("p_id", "p_url", "frame", "boxed", "body", "has_article", "near", "again")
     return chosen.mapInArrow(finish, f"`{id_col}` {id_kind}, `{url}` string, text string, n_chars long")
 
 

@@ -86,3 +86,18 @@ def test_common_subsequence_brute_force():
         got = page_text.shared_lines(a, b)
         rest = iter(b)
         assert len(got) == longest(a, b) and all(a[i] in rest for i in sorted(got))
+
+
+def test_copies_and_boxed_articles_keep_their_text(spark):
+    def page(*lines):
+        return f"<div>Menu</div>{''.join(f'<p>{x}</p>' for x in lines)}<div>Foot</div>"
+
+    rows = [(i, f"http://c/d/{i}", page("copied story", "its end")) for i in range(3)]  # copies under neighbouring URLs
+    rows += [(3, "http://c/d/3", page("one", "two")), (4, "http://c/d/4", page("three"))]
+    rows += [(10, "http://n/d/0", page("first")), (11, "http://n/d/1", page("long shared", "mine")), (12, "http://n/d/2", page("long shared", "yours")), (13, "http://n/d/3", page("last"))]
+    rows += [(20, "http://b/x", "<main><p>story</p></main><section id=comments><article>reply</article></section>")]
+    rows += [(21, "http://t/x", "<main><p>story</p></main><article>card 1</article><article>card 2</article>")]
+    got = {r.page_id: r.text for r in page_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(5)] == ["copied story\nits end"] * 3 + ["one\ntwo", "three"]
+    assert [got[i] for i in range(10, 14)] == ["first", "long shared\nmine", "long shared\nyours", "last"]
+    assert got[20] == "story" and got[21].split("\n")[0] == "story"
