@@ -29,7 +29,8 @@ from tessera.llm.scratch import Scratch
 from tessera.llm.tokens import encoder, vocabulary_file
 
 LENGTH = 4096
-#: Sources below one in so many tokens share one last queue, so that a window has so many queues at most.
+#: Sources below one in so many tokens and without a weight of their own share one last queue, so that a window
+#: has no more than so many queues beside those the caller weighs.
 LEAST_SHARE = 1024
 #: Rows of the table of queue positions up to which it is broadcast (about 40 bytes each).
 BROADCAST_ROWS = 100_000
@@ -142,7 +143,8 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2, length:
     """One row per piece, columns as in ``PIECES`` (the id under its own name).
 
     ``weights`` (positive integers by source; others weigh 1) sets the mixture; by default a source
-    weighs its tokens.  A null source is a source; null and empty texts are their end id alone;
+    weighs its tokens.  A source with a weight always has a queue of its own; those that share the
+    last queue weigh together what they weigh alone, and follow each other within it.  A null source is a source; null and empty texts are their end id alone;
     repeated rows are documents of their own; extra columns are ignored; no rows give no pieces.
     """
     spark, tokenizer = docs.sparkSession, tokenizer or vocabulary_file("word_bpe_49k.json")
@@ -152,13 +154,17 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2, length:
     parts = scratch.save(tokens.groupBy("part", "source").agg(F.sum("n").alias("n")), "parts")
     sums = parts.groupBy("source").agg(F.sum("n").alias("n"))
     total = parts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    # at most LEAST_SHARE rows
-    large = sorted((r.source is not None, r.source or "", r.source, r.n) for r in sums.where(F.col("n") * LEAST_SHARE >= total).collect())
+    # at most LEAST_SHARE rows and one for each weight
+    alone = F.col("n") * LEAST_SHARE >= total
+    if weights:
+        alone = alone | F.col("source").isin([s for s in weights if s is not None]) & F.col("source").isNotNull()
+        alone = alone | F.col("source").isNull() if None in weights else alone
+    large = sorted((r.source is not None, r.source or "", r.source, r.n) for r in sums.where(alone).collect())
     sizes = [n for *_, n in large]
     own = [s for *_, s, _ in large]
     rest = total - sum(sizes)
     queue = spark.createDataFrame([(s, q) for q, s in enumerate(own)], "name string, own_queue int")
-    chosen = [weights.get(s, 1) for s in own] + [1] * (rest > 0) if weights else None
+    chosen = [weights.get(s, 1) for s in own] + [sums.count() - len(own)] * (rest > 0) if weights else None
     sizes += [rest] * (rest > 0)
     last = len(own)
     named = parts.join(F.broadcast(queue), parts["source"].eqNullSafe(queue["name"]), "left").select("part", "source", "n", F.coalesce("own_queue", F.lit(last)).alias("queue"))

@@ -169,3 +169,14 @@ def test_mixture_in_every_window(real):
     full = total // 4096
     for r in got.join(real.select("doc_id", "source"), "doc_id").where(f"sequence_id < {full}").groupBy("sequence_id", "source").agg({"length": "sum"}).withColumnRenamed("sum(length)", "n").collect():
         assert abs(r.n - 4096 * share[r.source] / total) <= 3
+
+
+def test_weights_of_rare_sources(spark):
+    """A weighed source has its weight however rare it is; the others weigh one each though they share a queue."""
+    rows = [(0, "hot " * 40_000, "hot"), (1, "rare text here again now and then", "rare"), (2, "some other words in a row", "x"), (3, "some other words in a row", "y"), (4, "some other words in a row", "z")]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string, source string"), weights={"hot": 4, "rare": 40}, length=16).collect()
+    last = {i: max(p.sequence_id for p in got if p.doc_id == i) for i in range(5)}
+    n = {p.doc_id: p.doc_tokens for p in got}
+    assert max(n[i] for i in (1, 2, 3, 4)) * packing.LEAST_SHARE < n[0]
+    assert last[1] == 0  # 40 of 47 tokens are its own
+    assert max(last[i] for i in (2, 3, 4)) <= (n[1] + sum(n[i] for i in (2, 3, 4)) * 7 / 3 + 4) // 16  # 3 of 7, then
