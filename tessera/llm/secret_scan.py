@@ -1,11 +1,16 @@
 """Secrets by pattern, and by formats inferred from the credentials that patterns find.
 
 Three patterns give the base spans.  The values they find are labelled credentials; for each kind
-a prefix tree over character classes is built and states whose futures are statistically
-compatible (Hoeffding bound on end and symbol frequencies, recursively) are merged into a
-probabilistic automaton.  Every other long run of token characters is then scored: log-likelihood
-a character under each format against that of ordinary runs.  Runs that look like a format, at a
-length that format has, are added as spans of kind "format"; base spans always stay.
+a prefix tree over character classes is built and states with statistically compatible futures are
+merged into a probabilistic automaton.  Merging has two phases.  States of equal depth come first,
+from the root down: their visits add up, and a state knows its position.  States of different
+depths are merged afterwards, and only on evidence: both were visited ``VISITS`` times, and ends,
+classes and the mean length of what remains agree, in all states reachable alike (Hoeffding bound,
+recursively).  So a format of fixed length keeps it, one of many lengths becomes a loop.
+
+Every other run of token characters is a candidate, of any length: what remains of a run beside a
+base span too.  It is added as a span of kind "format" if some automaton makes it ``ODDS`` times
+likelier than a character model of ordinary runs, its end included.  Base spans always stay.
 """
 
 from __future__ import annotations
@@ -13,10 +18,13 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import pairwise
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,13 +34,17 @@ KINDS = ("assign", "access", "hex", "format")
 _ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")  # a longest run begins at its first digit, so shorter ones need no match
-_RUN = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
-#: Labelled values of each kind, and ordinary runs, that the formats are inferred from; longer values are left out.
-LABELLED, ORDINARY, LONGEST = 500, 5_000, 200
-ALPHA = 0.01
-#: Nats a character by which a format must beat ordinary runs, at the least.
-MARGIN = 0.5
+_RUN = re.compile(r"[A-Za-z0-9+/_.=-]+")
+#: Labelled values of each kind, and ordinary runs, that the models are fitted on: those whose hashes are lowest.
+LABELLED, ORDINARY = 500, 5_000
+#: Characters of one kind's values at most; a value that doesn't fit beside those before it is left out of the fit.
+LETTERS = 100_000
+ALPHA, VISITS, DEVIATIONS = 0.01, 20, 3.3
+#: How many times likelier than an ordinary run a run must be under a format.
+ODDS = 1e9
 _FLOOR = 1e-4
+#: Candidates (of at most so many characters) whose answer a worker remembers.
+MEMO, MEMO_LENGTH = 400_000, 64
 
 
 def base_spans(text: str) -> list[tuple[int, int, int, str]]:
@@ -46,24 +58,44 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
     return sorted(out)
 
 
-def candidates(text: str, base: list[tuple[int, int, int, str]]):
-    """Runs of 16 and more token characters that touch no base span."""
+def candidates(text: str, base: list[tuple[int, int, int, str]]) -> Iterator[tuple[int, int]]:
+    """``(start, end)`` of each run of token characters, without what base spans cover of it."""
+    at = 0
     for m in _RUN.finditer(text):
-        if not any(s < m.end() and m.start() < e for s, _, e, _ in base):
-            yield m
+        start, end = m.span()
+        while at < len(base) and base[at][2] <= start:
+            at += 1
+        k = at
+        while k < len(base) and base[k][0] < end:
+            if start < base[k][0]:
+                yield start, base[k][0]
+            start = max(start, base[k][2])
+            k += 1
+        if start < end:
+            yield start, end
 
 
 _CLASSES = ("0123456789", "abcdef", "ghijklmnopqrstuvwxyz", "ABCDEF", "GHIJKLMNOPQRSTUVWXYZ", *"+/_.=-")
 _CLASS_OF = {c: k for k, chars in enumerate(_CLASSES) for c in chars}
-_SPREAD = [math.log(len(chars)) for chars in _CLASSES]
 
 
 @dataclass
 class _State:
+    """Visits, how many of them end here, where each class leads, characters seen on the way out,
+    and the sums of the lengths that remain and of their squares."""
+
     n: int = 0
     ends: int = 0
     to: dict[int, int] = field(default_factory=dict)
     seen: Counter = field(default_factory=Counter)
+    chars: Counter = field(default_factory=Counter)
+    left: int = 0
+    left2: int = 0
+
+    def add(self, other: _State) -> None:
+        self.n, self.ends, self.left, self.left2 = self.n + other.n, self.ends + other.ends, self.left + other.left, self.left2 + other.left2
+        self.seen.update(other.seen)
+        self.chars.update(other.chars)
 
 
 class Automaton:
@@ -71,120 +103,279 @@ class Automaton:
 
     def __init__(self, values: list[str], alpha: float = ALPHA) -> None:
         self.states = [_State()]
-        self.lengths = (min(map(len, values)), max(map(len, values)))
         self._bound = math.sqrt(0.5 * math.log(2 / alpha))
         for v in values:
             at = 0
-            for k in (_CLASS_OF[c] for c in v):
+            for i, c in enumerate(v):
+                k = _CLASS_OF[c]
                 s = self.states[at]
-                s.n += 1
+                self._visit(s, len(v) - i)
                 s.seen[k] += 1
+                s.chars[c] += 1
                 if k not in s.to:
                     s.to[k] = len(self.states)
                     self.states.append(_State())
                 at = s.to[k]
-            self.states[at].n += 1
+            self._visit(self.states[at], 0)
             self.states[at].ends += 1
-        self._merge()
+        self._merge_depths()
+        self._merge_futures()
+
+    @staticmethod
+    def _visit(s: _State, left: int) -> None:
+        s.n, s.left, s.left2 = s.n + 1, s.left + left, s.left2 + left * left
+
+    def _differ(self, s: _State, t: _State) -> bool:
+        """Whether ends or classes differ by more than chance allows."""
+        bound = self._bound * (1 / math.sqrt(s.n) + 1 / math.sqrt(t.n))
+        return abs(s.ends / s.n - t.ends / t.n) >= bound or any(abs(s.seen[k] / s.n - t.seen[k] / t.n) >= bound for k in s.seen.keys() | t.seen.keys())
+
+    @staticmethod
+    def _lengths_differ(s: _State, t: _State) -> bool:
+        a, b = s.left / s.n, t.left / t.n
+        spread = max(0.0, s.left2 / s.n - a * a) / s.n + max(0.0, t.left2 / t.n - b * b) / t.n
+        return abs(a - b) > DEVIATIONS * math.sqrt(spread) + 1e-9
+
+    # -- states of one depth --------------------------------------------------------------------
+
+    def _alike(self, a: int, b: int) -> bool:
+        todo = [(a, b)]
+        while todo:
+            s, t = (self.states[x] for x in todo.pop())
+            if self._differ(s, t):
+                return False
+            todo += [(s.to[k], t.to[k]) for k in s.to.keys() & t.to.keys()]
+        return True
 
-    def _differ(self, f1: int, n1: int, f2: int, n2: int) -> bool:
-        return abs(f1 / n1 - f2 / n2) >= self._bound * (1 / math.sqrt(n1) + 1 / math.sqrt(n2))
+    def _fold(self, a: int, b: int) -> None:
+        """Add the tree under ``b`` to that under ``a``."""
+        todo = [(a, b)]
+        while todo:
+            a, b = todo.pop()
+            s, t = self.states[a], self.states[b]
+            s.add(t)
+            for k, child in t.to.items():
+                if k in s.to:
+                    todo.append((s.to[k], child))
+                else:
+                    s.to[k] = child
+
+    def _merge_depths(self) -> None:
+        layer = [0]
+        while layer:
+            edges = sorted(((a, k) for a in layer for k in self.states[a].to), key=lambda e: (-self.states[self.states[e[0]].to[e[1]]].n, e))
+            layer = []
+            for a, k in edges:
+                b = self.states[a].to[k]
+                match = next((r for r in layer if self._alike(r, b)), None)
+                if match is None:
+                    layer.append(b)
+                else:
+                    self._fold(match, b)
+                    self.states[a].to[k] = match
+
+    # -- states of different depths -------------------------------------------------------------
+
+    def _find(self, a: int) -> int:
+        while self._into[a] != a:
+            self._into[a] = a = self._into[self._into[a]]
+        return a
+
+    def _next(self, a: int) -> dict[int, int]:
+        return {k: self._find(x) for k, x in self.states[a].to.items()}
 
     def _compatible(self, a: int, b: int) -> bool:
-        s, t = self.states[a], self.states[b]
-        if self._differ(s.ends, s.n, t.ends, t.n) or any(self._differ(s.seen[k], s.n, t.seen[k], t.n) for k in s.seen.keys() | t.seen.keys()):
-            return False
-        return all(self._compatible(s.to[k], t.to[k]) for k in s.to.keys() & t.to.keys())
-
-    def _fold(self, a: int, b: int) -> None:
-        """Add the tree under ``b`` to the states from ``a`` on."""
-        s, t = self.states[a], self.states[b]
-        s.n, s.ends = s.n + t.n, s.ends + t.ends
-        s.seen.update(t.seen)
-        for k, child in t.to.items():
-            if k in s.to:
-                self._fold(s.to[k], child)
-            else:
-                s.to[k] = child
-
-    def _merge(self) -> None:
-        done = [0]
-        while True:
-            edge = [(a, k) for a in done for k, b in self.states[a].to.items() if b not in done]
-            if not edge:
-                return
-            a, k = max(edge, key=lambda e: (self.states[self.states[e[0]].to[e[1]]].n, -e[0], -e[1]))
-            b = self.states[a].to[k]
-            match = next((r for r in done if self._compatible(r, b)), None)
+        todo, seen = [(a, b)], set()
+        while todo:
+            a, b = pair = todo.pop()
+            if a == b or pair in seen:
+                continue
+            seen.add(pair)
+            s, t = self.states[a], self.states[b]
+            if min(s.n, t.n) >= VISITS and (self._lengths_differ(s, t) or self._differ(s, t)):
+                return False
+            x, y = self._next(a), self._next(b)
+            todo += [(x[k], y[k]) for k in x.keys() & y.keys()]
+        return True
+
+    def _unite(self, a: int, b: int) -> None:
+        todo = [(a, b)]
+        while todo:
+            a, b = map(self._find, todo.pop())
+            if a == b:
+                continue
+            a, b = min(a, b), max(a, b)
+            self._into[b] = a
+            s, t = self.states[a], self.states[b]
+            s.add(t)
+            for k, child in t.to.items():
+                if k in s.to:
+                    todo.append((s.to[k], child))
+                else:
+                    s.to[k] = child
+
+    def _merge_futures(self) -> None:
+        self._into = list(range(len(self.states)))
+        kept, todo, at = [], [0], 0
+        while at < len(todo):
+            b = todo[at]
+            at += 1
+            if self._find(b) != b or b in kept:
+                continue
+            enough = self.states[b].n >= VISITS
+            match = next((r for r in kept if enough and self._find(r) == r and self.states[r].n >= VISITS and self._compatible(r, b)), None)
             if match is None:
-                done.append(b)
+                kept.append(b)
+                todo += [x for _, x in sorted(self._next(b).items())]
             else:
-                self.states[a].to[k] = match
-                self._fold(match, b)
-
-    def score(self, value: str) -> float:
-        """Log-likelihood a character."""
+                self._unite(match, b)
+                todo += [x for _, x in sorted(self._next(self._find(match)).items())]
+        number = {a: i for i, a in enumerate(dict.fromkeys(map(self._find, [0, *todo])))}
+        for a in list(number):  # and what is only reached through states that were merged
+            stack = [a]
+            while stack:
+                for x in self._next(stack.pop()).values():
+                    if x not in number:
+                        number[x] = len(number)
+                        stack.append(x)
+        for a in number:
+            self.states[a].to = {k: number[x] for k, x in sorted(self._next(a).items())}
+        self.states = [self.states[a] for a in number]
+
+    def score(self, value: str, least: float = -math.inf) -> float:
+        """Log-likelihood of the characters and of the end after them; minus infinity if below ``least``.
+
+        A class that a state never saw is very unlikely, and the most usual one is taken to its place.
+        """
         at, total = 0, 0.0
         for c in value:
+            if total < least:
+                return -math.inf
             s, k = self.states[at], _CLASS_OF[c]
-            total += math.log(max(_FLOOR, s.seen[k] / s.n if s.n else 0)) - _SPREAD[k]
-            at = s.to.get(k, at)
+            m, size = s.seen[k], len(_CLASSES[k])
+            if m:
+                total += math.log(m / s.n * (s.chars[c] + 1) / (m + size))
+                at = s.to[k]
+            else:
+                total += math.log(_FLOOR / size)
+                at = s.to[max(s.to, key=lambda x: (s.seen[x], -x))] if s.to else at
         s = self.states[at]
-        return (total + math.log(max(_FLOOR, s.ends / s.n if s.n else 0))) / len(value)
+        total += math.log(max(_FLOOR, s.ends / s.n if s.n else 0.0))
+        return total if total >= least else -math.inf
+
+
+class Ordinary:
+    """Character pairs of ordinary runs, start and end included; every run weighs the same.
+
+    A pair that is rare backs off to its second character and to the pair of their classes.
+    """
+
+    def __init__(self, runs: list[str]) -> None:
+        signs, sort = ["", *_CLASS_OF], {"": -1} | _CLASS_OF
+        size = {-1: 1} | {k: len(chars) for k, chars in enumerate(_CLASSES)}
+        pairs, classes, before, one = (defaultdict(float) for _ in range(4))
+        for v in runs:
+            for pair in pairwise(["", *v, ""]):
+                pairs[pair] += 8 / (len(v) + 1)
+        for (a, b), n in pairs.items():
+            before[a] += n
+            one[b] += n
+            classes[sort[a], sort[b]] += n
+        whole = sum(one.values())
+        total = {k: sum(classes[k, x] + 1 for x in size) for k in size}
+        self.logs = {}
+        for a in signs:
+            for b in signs:
+                single = (one[b] + 0.5) / (whole + 0.5 * len(signs))
+                rare = (single + (classes[sort[a], sort[b]] + 1) / total[sort[a]] / size[sort[b]]) / 2
+                self.logs[a, b] = math.log((pairs.get((a, b), 0.0) + 4 * rare) / (before[a] + 4))
+
+    def score(self, value: str) -> float:
+        return sum(map(self.logs.__getitem__, pairwise(["", *value, ""])))
 
 
 class Formats:
-    """Automata of the labelled kinds, a model of ordinary runs, and the threshold of each kind."""
+    """Automata of the labelled kinds and a model of ordinary runs."""
 
     def __init__(self, labelled: dict[str, list[str]], ordinary: list[str]) -> None:
-        n = Counter(c for v in ordinary for c in v)
-        whole = sum(n.values())
-        self.plain = {c: math.log((n[c] + 0.5) / (whole + 0.5 * len(_CLASS_OF))) for c in _CLASS_OF}
-        self.kinds = []
-        for values in labelled.values():
-            if values:
-                a = Automaton(values)
-                gains = sorted(a.score(v) - self._ordinary(v) for v in values)
-                self.kinds.append((a, max(MARGIN, gains[len(gains) // 20])))
-
-    def _ordinary(self, value: str) -> float:
-        return sum(map(self.plain.__getitem__, value)) / len(value)
+        self.plain = Ordinary(ordinary)
+        self.kinds = [Automaton(values) for values in labelled.values() if values]
+        self._memo: dict[str, bool] = {}
 
     def likely(self, value: str) -> bool:
-        near = [(a, t) for a, t in self.kinds if a.lengths[0] <= len(value) <= a.lengths[1]]
-        return bool(near) and max(a.score(value) - t for a, t in near) >= self._ordinary(value)
+        if (found := self._memo.get(value)) is None:
+            least = self.plain.score(value) + math.log(ODDS)
+            found = any(a.score(value, least) >= least for a in self.kinds)
+            if len(value) <= MEMO_LENGTH:
+                if len(self._memo) >= MEMO:
+                    self._memo.clear()
+                self._memo[value] = found
+        return found
 
     def spans(self, text: str) -> list[tuple[int, int, int]]:
         """``(start, kind number, end)`` of all spans, base and added, in order."""
         base = base_spans(text)
-        return sorted([(s, k, e) for s, k, e, _ in base] + [(m.start(), 3, m.end()) for m in candidates(text, base) if self.likely(m[0])])
+        if base:
+            return sorted([(s, k, e) for s, k, e, _ in base] + [(s, 3, e) for s, e in candidates(text, base) if self.likely(text[s:e])])
+        hits = {r for r in set(_RUN.findall(text)) if self.likely(r)}
+        return [(m.start(), 3, m.end()) for m in _RUN.finditer(text) if m[0] in hits] if hits else []
+
+
+class _Lowest:
+    """The ``n`` values of lowest hash among those offered."""
+
+    def __init__(self, n: int) -> None:
+        self.n, self.ranks, self.bar = n, {}, 1 << 64
+
+    def offer(self, value: str) -> None:
+        if value not in self.ranks and (rank := xxhash.xxh64_intdigest(value)) < self.bar:
+            self.ranks[value] = rank
+            if len(self.ranks) >= 2 * self.n + 1_000:
+                self.ranks = dict(sorted(self.ranks.items(), key=lambda x: (x[1], x[0]))[: self.n])
+                self.bar = max(self.ranks.values())
+
+    def rows(self, kind: str) -> list[tuple[str, str, int]]:
+        return [(kind, v, r - (1 << 63)) for v, r in sorted(self.ranks.items(), key=lambda x: (x[1], x[0]))[: self.n]]
 
 
 def train(docs: DataFrame, text: str = "text") -> Formats:
     """Infer formats from the credentials in all documents.
 
-    Every text is scanned; of the distinct labelled values the ``LABELLED`` of each kind and of
-    ordinary runs the ``ORDINARY`` with the smallest hash are used, whatever the input's size.
+    Every text is scanned whole.  Of the distinct labelled values the ``LABELLED`` of each kind and
+    of ordinary runs the ``ORDINARY`` with the smallest hash are used, as far as ``LETTERS`` allows;
+    each task keeps no more than that.  Null and empty texts teach nothing; without labelled values
+    there are no formats.
     """
+    sizes = dict.fromkeys(KINDS[:3], LABELLED) | {"ordinary": ORDINARY}
 
     def run(batches):
+        lowest = {k: _Lowest(n) for k, n in sizes.items()}
         for b in slices(batches):
-            rows = set()
             for t in b.column(0).to_pylist():
-                if t:
-                    base = base_spans(t)
-                    rows.update((KINDS[k], v) for _, k, _, v in base if len(v) <= LONGEST)
-                    rows.update(("ordinary", m[0]) for m in candidates(t, base) if len(m[0]) <= LONGEST)
-            rows = sorted(rows)
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in (0, 1)], ["kind", "value"])
-
-    found = docs.select(text).mapInArrow(run, "kind string, value string").distinct()
+                if not t:
+                    continue
+                base = base_spans(t)
+                for _, k, _, v in base:
+                    if len(v) <= LETTERS:
+                        lowest[KINDS[k]].offer(v)
+                for v in {t[s:e] for s, e in candidates(t, base)} if base else set(_RUN.findall(t)):
+                    if len(v) <= LETTERS:
+                        lowest["ordinary"].offer(v)
+        rows = [r for k, x in lowest.items() for r in x.rows(k)]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], ["kind", "value", "rank"])
+
+    found = docs.select(text).mapInArrow(run, "kind string, value string, rank long").distinct()
     found = Scratch(docs.sparkSession, "secrets").save(found, "labelled")
 
-    def pick(kind: str, n: int) -> list[str]:  # n values of bounded length
-        return [r.value for r in found.where(F.col("kind") == kind).orderBy(F.xxhash64("value"), "value").limit(n).collect()]
+    def pick(kind: str) -> list[str]:
+        out, room = [], LETTERS
+        for r in found.where(F.col("kind") == kind).orderBy("rank", "value").limit(sizes[kind]).collect():
+            if len(r.value) <= room:
+                out.append(r.value)
+                room -= len(r.value)
+        return out
 
-    return Formats({k: pick(k, LABELLED) for k in KINDS[:3]}, pick("ordinary", ORDINARY))
+    return Formats({k: pick(k) for k in KINDS[:3]}, pick("ordinary"))
 
 
 def _joined(spans: list[tuple[int, int, int]]) -> str:
@@ -195,7 +386,9 @@ def annotate(docs: DataFrame, formats: Formats | None = None, id_col: str = "doc
     """One row per document: id, ``n_assign``, ``n_access``, ``n_hex``, ``base_sha256``, ``spans``.
 
     A null text is empty; without any span ``spans`` is empty and ``base_sha256`` that of "".
-    Repeated rows stay; extra columns are ignored.  Without labelled values nothing is added.
+    Texts of any length are scanned whole.  Repeated rows (and ids) stay, each with its own spans;
+    a null id stays null; extra columns are ignored, whatever their names.  Without labelled values
+    nothing is added; no rows give no rows.
     """
     model = formats or train(docs, text)
 
@@ -217,7 +410,10 @@ def annotate(docs: DataFrame, formats: Formats | None = None, id_col: str = "doc
 
 
 def redact(docs: DataFrame, formats: Formats | None = None, text: str = "text", mark: str = "[secret]") -> DataFrame:
-    """The documents, all of them, with every span replaced by ``mark``; overlapping spans are one."""
+    """The documents, all of them, with every span replaced by ``mark``; overlapping spans are one.
+
+    A null text stays null and an empty one empty; repeated rows and extra columns stay as they are.
+    """
     model, at, names = formats or train(docs, text), docs.columns.index(text), docs.columns
 
     def clean(t: str | None) -> str | None:
