@@ -1,9 +1,11 @@
 """Secret scans and toxicity."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
+from collections import Counter, defaultdict
 
 from tessera.llm import secret_scan, toxicity
 
@@ -40,19 +42,107 @@ def test_op7_rows(docs, no_docs, real):
     assert secret_scan.annotate(no_docs).count() == 0
 
 
+def _maker(seed):
+    rng = random.Random(seed)
+
+    def some(alphabet, n):
+        return "".join(rng.choice(alphabet) for _ in range(n))
+
+    return rng, some
+
+
+HEX, UPPER = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+SYLLABLES = ["the", "tion", "heit", "keit", "ung", "er", ".", "be", "mo"]
+
+
+def _formats(rng, some):
+    labelled = {"assign": [some(HEX, 18) for _ in range(100)] + [some(HEX, 40) for _ in range(100)], "access": ["AKIA" + some(UPPER, 16) for _ in range(100)], "hex": [some(HEX, 40) for _ in range(100)]}
+    plain = ["".join(rng.choice(SYLLABLES) for _ in range(rng.randrange(1, 7))) for _ in range(2_000)] + [str(rng.randrange(10**6)) for _ in range(200)]
+    return secret_scan.Formats(labelled, plain), plain
+
+
+def test_automata_keep_what_tells_states_apart():
+    rng, some = _maker(2)
+    fixed = secret_scan.Automaton([some(HEX, 40) for _ in range(150)])
+    assert len(fixed.states) == 41 and [s.ends for s in fixed.states].count(0) == 40
+    two = secret_scan.Automaton([some(HEX, n) for n in (18, 40) for _ in range(100)])
+    assert sum(s.ends > 0 for s in two.states) == 2
+    lengths = [8 + int(rng.expovariate(0.1)) for _ in range(400)]
+    free = secret_scan.Automaton([some(HEX, n) for n in lengths])
+    assert len(free.states) < max(lengths) / 2  # lengths that tell nothing became a loop
+    assert free.score(some(HEX, 23)) > fixed.score(some(HEX, 23)) + 3
+    prefixed = secret_scan.Automaton(["AKIA" + some(UPPER, 16) for _ in range(100)])
+    assert prefixed.score("AKIA" + "B7" * 8) > prefixed.score("BZXC" + "B7" * 8) + 8
+
+
 def test_formats_are_inferred():
-    rng = random.Random(2)
-    def hexed(n):
-        return "".join(rng.choice("0123456789abcdef") for _ in range(n))
-    labelled = {"assign": [hexed(18) for _ in range(100)] + [hexed(40) for _ in range(100)], "access": ["AKIA" + "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(16)) for _ in range(100)], "hex": [hexed(40) for _ in range(100)]}
-    plain = ["".join(rng.choice(["the", "tion", "heit", "keit", "ung", "er", "."]) for _ in range(7)) for _ in range(500)]
-    model = secret_scan.Formats(labelled, [p for p in plain if len(p) >= 16])
-    assert len(model.kinds) == 3 and all(len(a.states[0].to) for a, _ in model.kinds)
-    assert model.likely(hexed(24)) and model.likely("BZXC" + "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(16)))
-    assert not any(model.likely(p) for p in plain) and not model.likely("mail1.example.com") and not model.likely(hexed(90))
-    text = f"ordinary {hexed(24)} words AKIA{'Q' * 16} mail1.example.com"
-    assert [k for _, k, _ in model.spans(text)] == [3, 1]
+    rng, some = _maker(2)
+    model, plain = _formats(rng, some)
+    for n in (18, 36, 40, 41):
+        assert model.likely(some(HEX, n))
+    assert model.likely("AKIA" + some(UPPER, 16)) and not model.likely(some(HEX, 200))
+    assert not any(model.likely(p) for p in plain) and not model.likely("mail1.example.com") and not model.likely("x" * 5_000)
+    text = f"ordinary words AKIA{'Q' * 16}{some(HEX, 18)} mail1.example.com"
     assert secret_scan.Formats({"assign": [], "access": [], "hex": []}, []).spans(text) == [(s, k, e) for s, k, e in slow_base(text)]
+    beside = f"AKIA{'Q' * 16}{some(HEX, 18)}"  # what a base span leaves of a run is a candidate
+    assert [k for _, k, _ in model.spans(beside)][0] == 1 and len(model.spans(beside)) <= 2
+
+
+def test_the_automata_decide():
+    """Credentials without their keywords are found by their format alone, and nothing else is."""
+    rng, some = _maker(3)
+    model, _ = _formats(rng, some)
+    hit = added = planted = 0
+    for _ in range(300):
+        words = ["".join(rng.choice(SYLLABLES) for _ in range(rng.randrange(1, 7))) for _ in range(40)]
+        want = set()
+        if rng.random() < 0.5:
+            words[rng.randrange(40)] = token = rng.choice([some(HEX, 18), "AKIB" + some(UPPER, 16)])
+            want.add(token)
+        text = " ".join(words)
+        got = {text[s:e] for s, k, e in model.spans(text) if k == 3}
+        hit, added, planted = hit + len(got & want), added + len(got), planted + len(want)
+    assert hit / planted > 0.95 and hit / added > 0.95
+
+
+def test_added_spans_brute_force():
+    """Candidates character by character, and likelihoods from the automata's own counts."""
+    rng, some = _maker(4)
+    model, _ = _formats(rng, some)
+    assert any(k == 3 for _, k, _ in model.spans(f"{some(HEX, 25)} word"))
+    allowed = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
+    classes = ["0123456789", "abcdef", "ghijklmnopqrstuvwxyz", "ABCDEF", "GHIJKLMNOPQRSTUVWXYZ", *"+/_.=-"]
+
+    def likelihood(a, value):
+        state, p = a.states[0], 0.0
+        for c in value:
+            k = next(i for i, x in enumerate(classes) if c in x)
+            if state.seen[k]:
+                p += math.log(state.seen[k] / state.n) + math.log((state.chars[c] + 1) / (sum(state.chars[x] for x in classes[k]) + len(classes[k])))
+                state = a.states[state.to[k]]
+            else:
+                p += math.log(1e-4 / len(classes[k]))
+                most = max(state.seen.values(), default=0)
+                state = next((a.states[state.to[i]] for i in range(len(classes)) if state.seen[i] == most), state) if most else state
+        return p + math.log(max(1e-4, state.ends / state.n))
+
+    def slow(text):
+        base = slow_base(text)
+        free = [c in allowed and not any(s <= i < e for s, _, e in base) for i, c in enumerate(text)]
+        out, i = [], 0
+        while i < len(text):
+            j = i
+            while j < len(text) and free[j]:
+                j += 1
+            if j > i and any(likelihood(a, text[i:j]) - model.plain.score(text[i:j]) >= math.log(secret_scan.ODDS) for a in model.kinds):
+                out.append((i, 3, j))
+            i = max(j, i + 1)
+        return sorted(base + out)
+
+    for _ in range(400):
+        parts = [rng.choice([some(HEX, rng.choice((18, 25, 39, 40, 41))), "AKIA" + some(UPPER, 16), "word", "toKen=", "password: ", " ", "é", "x" * rng.randrange(60), some(HEX, 5), "-"]) for _ in range(rng.randrange(8))]
+        text = "".join(parts)
+        assert model.spans(text) == slow(text), text
 
 
 def test_redact(docs):
@@ -76,6 +166,70 @@ def test_toxicity_held_out(spark):
     assert all(again[r.doc_id] == r.score for r in rows)
 
 
+def slow_evidence(sample, texts):
+    """Toxic less ordinary log-likelihood a word, by the formula of the module, of models of ``sample(text, y)``."""
+
+    def split(t):
+        return re.findall(r"[^\W\d_]+", (t or "").lower())
+
+    def orders(found):
+        return [[("", w[:4]) for w in found], [("", w) for w in found], list(zip(["", *found], found, strict=False))]
+
+    n, whole = [Counter(), Counter()], [Counter(), Counter()]
+    for t, y in sample:
+        for order, found in enumerate(orders(split(t))):
+            for u, w in set(found):
+                n[y][order, u, w] += 1
+                whole[y][order, u] += 1
+
+    def kept(y, order, u, w):
+        mine = whole[y][order, u]
+        if not mine:
+            return 0.0
+        expected = mine * (n[0][order, u, w] + n[1][order, u, w]) / (whole[0][order, u] + whole[1][order, u])
+        return max(0.0, (n[y][order, u, w] - expected - 3 * math.sqrt(expected) - 0.75) / mine)
+
+    lost = [defaultdict(float), defaultdict(float)]
+    for y in (0, 1):
+        for order, u, w in n[y]:
+            lost[y][order, u] += kept(y, order, u, w)
+
+    def ratio(y, order, u, w, lower):
+        seen = n[0][order, u, w] + n[1][order, u, w]
+        own = kept(y, order, u, w) * (whole[0][order, u] + whole[1][order, u]) / seen if seen else 0.0
+        return own + (1 - lost[y][order, u]) * lower
+
+    out = []
+    for t in texts:
+        found, total = split(t), 0.0
+        for u, w in zip(["", *found], found, strict=False):
+            p = [ratio(y, 2, u, w, ratio(y, 1, "", w, ratio(y, 0, "", w[:4], 1.0))) for y in (0, 1)]
+            total += math.log(p[1] / p[0])
+        out.append(total / len(found) if found else 0.0)
+    return out
+
+
+def test_toxicity_brute_force(spark):
+    """Every text's evidence against the formula, pairs and words seen once included."""
+    rng, rows, labels = random.Random(4), [], []
+    plain = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(200)]
+    for i in range(600):
+        found = [rng.choice(plain) for _ in range(rng.randrange(30))]
+        if i % 5 == 0:
+            found[len(found) // 2 : 0] = ["vile", rng.choice(["person", "persona", "thing"])] if i % 2 else ["stupid"]
+        rows.append((i, " ".join(found) if found else None))
+        labels.append((i, int(i % 5 == 0)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    learnt = [(t, y) for (i, t), (_, y) in zip(rows, labels, strict=True) if zlib.crc32(str(i).encode()) % 4 != 2]
+    for got, want in zip((model.evidence(t) for _, t in rows), slow_evidence(learnt, [t for _, t in rows]), strict=True):
+        assert abs(got - want) < 1e-9
+    assert {order for order, _, _ in model.kept} == {0, 1, 2}
+    scores = {r.doc_id: r.score for r in toxicity.annotate(docs, spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    for i, t in rows:
+        assert abs(scores[i] - 1 / (1 + math.exp(-(model.slope * model.evidence(t) + model.intercept)))) < 1e-9
+
+
 def test_toxicity_edges(spark, docs, no_docs):
     labels = spark.createDataFrame([(0, 1, 1), (1, 1, 0), (2, None, None), (None, 1, 1), (0, 1, 0)], "doc_id long, quality int, toxic int")
     got = toxicity.annotate(docs, labels)
