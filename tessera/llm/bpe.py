@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 from tessera.llm.scratch import slices
 from tessera.llm.tokens import ranks, vocabulary_file
 
-LEAF = 16_384
+#: Characters of a leaf: nearly every document is a tree.
+LEAF = 512
 WINDOW = 64
 #: A seam without a proven cut this near goes to the tree over one match's bytes.
 FAR = 4_096
@@ -154,7 +155,9 @@ def decode(coded: DataFrame, path: str, pattern: str, id_col: str = "doc_id", id
 def digests(docs: DataFrame, path: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Encode and decode every row: id, ``n_tokens``, ``ids_sha256``, ``decoded_sha256``.
 
-    Each row is a document of its own, repeated ids included; a null text counts as empty.
+    Each row is a document of its own, repeated ids and rows included; a null text counts as empty
+    and has no ids.  Texts of any length are encoded whole, in memory in proportion to one text.
+    Extra columns are ignored, whatever their names; no rows give no rows.
     """
     import public_tokenizers
 

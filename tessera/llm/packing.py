@@ -8,6 +8,10 @@ the first 4096 k tokens by (time, queue) fill windows 0 to k - 1.  How many of t
 computed in exact integers from k alone, so each partition knows every deficit at its start
 without running through the windows before it.
 
+Sources too rare to fill a place in every window share the last queue.  There documents are served
+whole, each when its source is as far through its tokens as the others (or as far in tokens, where
+the caller gives weights), so no source of the pool is ahead of another by more than a document.
+
 A queue that runs out stops earning and the others share its credit, as in any work-conserving
 scheduler.  Weights default to the sources' own token counts; then all queues end together.
 Every window but the last is full.
@@ -25,11 +29,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.scratch import Scratch
+from tessera.llm.scratch import Scratch, slices
 from tessera.llm.tokens import encoder, vocabulary_file
 
 LENGTH = 4096
-#: Sources below one in so many tokens and without a weight of their own share one last queue, so that a window
+#: Sources below one in so many tokens and without a weight of their own share the last queue, so that a window
 #: has no more than so many queues beside those the caller weighs.
 LEAST_SHARE = 1024
 #: Rows of the table of queue positions up to which it is broadcast (about 40 bytes each).
@@ -139,13 +143,40 @@ def _tokens(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text: str
     return rows.mapInArrow(run, "id long, source string, part long, before long, n long, ids binary")
 
 
+def _pool(docs: DataFrame, equal: bool, scratch: Scratch) -> DataFrame:
+    """``(p_source, p_part, p_before, j)`` of ``docs(source, part, before, pos, size, n)``: the tokens
+    before a document in the queue that its source shares with others.
+
+    A range sort of a row per document; the running sum is made within partitions, whose totals are
+    a row each.
+    """
+    middle = F.col("pos") + F.col("n") / 2
+    turn = docs.select("source", "part", "before", "n", "pos", (middle if equal else middle / F.col("size")).alias("turn"))
+    order = ["turn", "source", "pos"]
+
+    def run(batches):
+        pid, ahead = TaskContext.get().partitionId(), 0
+        for b in batches:
+            n = b.column(3).to_numpy()
+            first = ahead + np.cumsum(n) - n
+            ahead += int(n.sum())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(np.full(len(n), pid)), pa.array(first), b.column(3)], ["p_source", "p_part", "p_before", "pid", "first", "n"])
+
+    placed = scratch.save(turn.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, "p_source string, p_part long, p_before long, pid long, first long, n long"), "pool")
+    totals = placed.groupBy(F.col("pid").alias("t_pid")).agg(F.sum("n").alias("n"))
+    offsets = totals.select("t_pid", F.coalesce(F.sum("n").over(Window.orderBy("t_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
+    return placed.join(F.broadcast(offsets), F.col("pid") == F.col("t_pid")).select("p_source", "p_part", "p_before", (F.col("first") + F.col("offset")).alias("j"))
+
+
 def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2, length: int = LENGTH, weights: dict[str | None, int] | None = None, id_col: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """One row per piece, columns as in ``PIECES`` (the id under its own name).
 
     ``weights`` (positive integers by source; others weigh 1) sets the mixture; by default a source
     weighs its tokens.  A source with a weight always has a queue of its own; those that share the
-    last queue weigh together what they weigh alone, and follow each other within it.  A null source is a source; null and empty texts are their end id alone;
-    repeated rows are documents of their own; extra columns are ignored; no rows give no pieces.
+    last queue weigh together what they weigh alone.  A null source is a source; null and empty
+    texts are their end id alone; a document longer than a sequence is cut, whole texts are packed;
+    repeated rows and ids are documents of their own; extra columns are ignored, whatever their
+    names; no rows give no pieces.
     """
     spark, tokenizer = docs.sparkSession, tokenizer or vocabulary_file("word_bpe_49k.json")
     scratch = Scratch(spark, "packing")
@@ -153,7 +184,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2, length:
     width = 2 if encoder(tokenizer).kind.itemsize == 2 else 4
     parts = scratch.save(tokens.groupBy("part", "source").agg(F.sum("n").alias("n")), "parts")
     sums = parts.groupBy("source").agg(F.sum("n").alias("n"))
-    total = parts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    total, sources = parts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_distinct(F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")))).first()
     # at most LEAST_SHARE rows and one for each weight
     alone = F.col("n") * LEAST_SHARE >= total
     if weights:
@@ -164,24 +195,35 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2, length:
     own = [s for *_, s, _ in large]
     rest = total - sum(sizes)
     queue = spark.createDataFrame([(s, q) for q, s in enumerate(own)], "name string, own_queue int")
-    chosen = [weights.get(s, 1) for s in own] + [sums.count() - len(own)] * (rest > 0) if weights else None
+    chosen = [weights.get(s, 1) for s in own] + [sources - len(own)] * (rest > 0) if weights else None
     sizes += [rest] * (rest > 0)
     last = len(own)
-    named = parts.join(F.broadcast(queue), parts["source"].eqNullSafe(queue["name"]), "left").select("part", "source", "n", F.coalesce("own_queue", F.lit(last)).alias("queue"))
-    order = Window.partitionBy("queue").orderBy("part", "source").rowsBetween(Window.unboundedPreceding, -1)
-    bases = scratch.save(named.select(F.col("part").alias("b_part"), F.col("source").alias("b_source"), "queue", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("base")), "bases")
+    order = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    based = parts.select("source", "part", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("base"))
+    named = based.join(F.broadcast(queue), based["source"].eqNullSafe(queue["name"]), "left")
+    bases = scratch.save(named.select(F.col("part").alias("b_part"), F.col("source").alias("b_source"), F.coalesce("own_queue", F.lit(last)).alias("queue"), "base"), "bases")
     bases = F.broadcast(bases) if bases.count() <= BROADCAST_ROWS else bases.hint("merge")
     placed = tokens.join(bases, (tokens["part"] == bases["b_part"]) & tokens["source"].eqNullSafe(bases["b_source"]))
+    placed = placed.withColumn("j", F.col("base") + F.col("before"))
+    if rest:
+        pooled = placed.where(F.col("queue") == last)
+        totals = sums.select(F.col("source").alias("s_source"), F.col("n").alias("size")).hint("merge")
+        turns = pooled.select("source", "part", "before", F.col("j").alias("pos"), "n").join(totals, F.col("source").eqNullSafe(F.col("s_source")))
+        turn = _pool(turns, bool(weights), scratch).hint("merge")
+        same = (F.col("part") == F.col("p_part")) & (F.col("before") == F.col("p_before")) & F.col("source").eqNullSafe(F.col("p_source"))
+        shared = pooled.drop("j").join(turn, same)
+        placed = placed.where(F.col("queue") != last).select("id", "queue", "j", "n", "ids").unionByName(shared.select("id", "queue", "j", "n", "ids"))
+
+    names = [id_col, *(x.split()[0] for x in PIECES.split(", ")[1:])]
 
     def run(batches):
         plan, kind = Schedule(sizes, chosen, length), np.dtype(f"<u{width}")
-        for b in batches:
+        for b in slices(batches):
             rows: list[tuple] = []
-            for a in range(b.num_rows):
-                doc_id, q, j, n, raw = (b.column(c)[a].as_py() for c in range(5))
-                wide = np.frombuffer(raw, kind).astype("<u4").tobytes()
+            for doc_id, q, j, n, raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                wide = np.frombuffer(raw, kind).astype("<u4").view(np.uint8)
                 rows += [(doc_id, at, take, zlib.crc32(wide[4 * at : 4 * (at + take)]), n, k, off) for at, take, k, off in plan.pieces(q, j, n)]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], [id_col, *(x.split()[0] for x in PIECES.split(", ")[1:])])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names)
 
-    return placed.select("id", "queue", (F.col("base") + F.col("before")).alias("j"), "n", "ids").mapInArrow(run, PIECES.replace("doc_id", f"`{id_col}`"))
+    return placed.select("id", "queue", "j", "n", "ids").mapInArrow(run, PIECES.replace("doc_id", f"`{id_col}`"))

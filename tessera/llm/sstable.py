@@ -9,9 +9,12 @@ binary search and opens that block alone.
 Layout: blocks | index | filter | footer.  Integers are little-endian; varints are LEB128.
 
 * block: zstd of entries (varint shared, varint own, varint value length, own key bytes, value)
-* index: zstd of, for each block, varint first key length, first key, varint length, varint rows
-* filter: varint number of probes, then the bits
-* footer: ``FOOTER``, which also holds the number of rows and ids and the bytes an id takes
+* index: zstd of, for each block, varint first key length, first key, varint length, varint rows,
+  crc32 of the compressed block
+* filter: number of bits, number of probes, the bits, crc32 of all that
+* footer: ``FOOTER``, which also holds the index's crc32, the number of rows and ids and the bytes an id takes
+
+What doesn't have its checksum raises ``ValueError``.
 
 A key is eight bytes of the document's id (big-endian, sign bit flipped, so that bytes sort as
 numbers) behind 0x01, or 0x00 for a null id, then eight bytes that tell rows with one id apart.
@@ -39,8 +42,8 @@ from tessera.llm.tokens import encoder, vocabulary_file
 
 BLOCK = 64 << 10
 BITS_PER_KEY, PROBES = 10, 7
-FOOTER = struct.Struct("<QIQIQIQQB7s")  # index at, length, filter at, length, blocks, spare, rows, ids, id bytes, magic
-MAGIC = b"TSSTv1\n"
+FOOTER = struct.Struct("<QIQIQIQQB7s")  # index at, length, filter at, length, blocks, index crc32, rows, ids, id bytes, magic
+MAGIC = b"TSSTv2\n"
 MANIFEST = "path string, first_key binary, rows long, ids long, bytes long"
 
 
@@ -113,7 +116,7 @@ class Writer:
             return
         data = self.pack(b"".join(self.entries))
         self.stream.write(data)
-        self.index.append(_varint(len(self.first)) + self.first + _varint(len(data)) + _varint(self.n))
+        self.index.append(_varint(len(self.first)) + self.first + _varint(len(data)) + _varint(self.n) + struct.pack("<I", zlib.crc32(data)))
         self.at += len(data)
         self.blocks += 1
         self.entries, self.size, self.first, self.last, self.n = [], 0, None, b"", 0
@@ -128,7 +131,8 @@ class Writer:
             for p in _probes(head, bits, PROBES):
                 marks[p >> 3] |= 1 << (p & 7)
         bloom = struct.pack("<QB", bits, PROBES) + marks.tobytes()
-        self.stream.write(index + bloom + FOOTER.pack(self.at, len(index), self.at + len(index), len(bloom), self.blocks, 0, self.rows, self.ids, self.width, MAGIC))
+        bloom += struct.pack("<I", zlib.crc32(bloom))
+        self.stream.write(index + bloom + FOOTER.pack(self.at, len(index), self.at + len(index), len(bloom), self.blocks, zlib.crc32(index), self.rows, self.ids, self.width, MAGIC))
         return self.at + len(index) + len(bloom) + FOOTER.size
 
 
@@ -145,23 +149,33 @@ class Shard:
         self.rows, self.ids, self.kind = foot[6], foot[7], np.dtype(f"<u{foot[8]}")
         self._filter_at, self._filter_len = foot[2], foot[3]
         self._bloom: tuple[int, int, bytes] | None = None
-        data, at, offset = zstandard.ZstdDecompressor().decompress(self.file.read_at(foot[1], foot[0])) if foot[4] else b"", 0, 0
+        index = self._checked(self.file.read_at(foot[1], foot[0]), foot[5])
+        data, at, offset = zstandard.ZstdDecompressor().decompress(index) if foot[4] else b"", 0, 0
         self.firsts: list[bytes] = []
         self.spans: list[tuple[int, int]] = []
+        self._sums: list[int] = []
         for _ in range(foot[4]):
             n, at = _read_varint(data, at)
             self.firsts.append(data[at : at + n])
             length, at = _read_varint(data, at + n)
             _, at = _read_varint(data, at)
+            self._sums.append(*struct.unpack_from("<I", data, at))
+            at += 4
             self.spans.append((offset, length))
             offset += length
 
+    @staticmethod
+    def _checked(data: bytes, crc: int) -> bytes:
+        if zlib.crc32(data) != crc:
+            raise ValueError("a part of the shard is damaged")
+        return data
+
     def close(self) -> None:
         self.file.close()
 
     def block(self, i: int) -> Iterator[tuple[bytes, np.ndarray]]:
         offset, length = self.spans[i]
-        data, at, key = zstandard.ZstdDecompressor().decompress(self.file.read_at(length, offset)), 0, b""
+        data, at, key = zstandard.ZstdDecompressor().decompress(self._checked(self.file.read_at(length, offset), self._sums[i])), 0, b""
         while at < len(data):
             shared, at = _read_varint(data, at)
             own, at = _read_varint(data, at)
@@ -178,7 +192,8 @@ class Shard:
     def may_hold(self, doc_id: int | None) -> bool:
         if self._bloom is None:
             data = self.file.read_at(self._filter_len, self._filter_at)
-            self._bloom = (*struct.unpack_from("<QB", data), data[9:])
+            self._checked(data[:-4], *struct.unpack("<I", data[-4:]))
+            self._bloom = (*struct.unpack_from("<QB", data), data[9:-4])
         bits, k, marks = self._bloom
         return all(marks[p >> 3] >> (p & 7) & 1 for p in _probes(key_of(doc_id)[:9], bits, k))
 
@@ -198,7 +213,9 @@ def write(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: in
     """Encode every document and write shards under ``folder``; returns the manifest, a row per shard.
 
     Shards hold disjoint ascending ranges of keys.  Texts are dealt by ranges of (id, text hash),
-    so rows that repeat one id still spread; null ids come first, a null text is the end id alone.
+    so rows that repeat one id still spread; null ids come first, a null text is the end id alone;
+    repeated rows stay, texts of any length are encoded whole, extra columns are ignored, whatever
+    their names, and no rows give no shards.
     A shard's name is its attempt's own and counts only once its manifest row exists, so a task
     that is run again leaves no half shard behind in the table.  Executors write through
     ``pyarrow.fs``, so ``folder`` may be any store it supports.
@@ -231,6 +248,24 @@ def write(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: in
     return rows.repartitionByRange("id", "mark").sortWithinPartitions("id", "mark").mapInArrow(run, MANIFEST)
 
 
+def lookup(manifest: DataFrame, doc_id: int | None) -> list[np.ndarray]:
+    """The ids of every row with this document id, [] if there is none.
+
+    The manifest's first keys name the shards that may hold it (one, unless its rows span several);
+    of each only footer, filter, index and the blocks in question are read.
+    """
+    head = key_of(doc_id)[:9]
+    low, high = F.lit(bytearray(head)), F.lit(bytearray(head + b"\xff" * 8))
+    before = manifest.where(F.col("first_key") < low).orderBy(F.desc("first_key")).limit(1)
+    within = manifest.where(F.col("first_key").between(low, high))
+    out = []
+    for row in before.unionByName(within).orderBy("first_key").select("path").collect():
+        shard = Shard(row.path)
+        out += shard.get(doc_id)
+        shard.close()
+    return out
+
+
 def read(manifest: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Read shards back, one task each: id, ``start`` (ids of all rows before), ``n_tokens``, ``ids_crc32``.
 

@@ -1,8 +1,8 @@
 """Tokenizer files, and fast exact encoding of whole texts.
 
 ``Encoder`` gives the ids of the tokenizers library.  For texts of common characters it applies the
-file's own merges with the merge engine of tiktoken, several times faster; every other text goes
-to the library itself.
+file's own merges with the merge engine of tiktoken, several times faster; every other text, and
+each that holds a string of an added token (``<|endoftext|>``), goes to the library itself.
 """
 
 from __future__ import annotations
@@ -46,7 +46,7 @@ class _Chunks(dict):
 class Encoder:
     """Whole texts to the ids of a ``tokenizers`` file of byte-level BPE, with or without word ends.
 
-    Strings of special tokens are ordinary text.
+    Strings of special tokens get the ids that the library gives them.
     """
 
     def __init__(self, path: str) -> None:
@@ -56,7 +56,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        added = self.library.get_added_tokens_decoder().values()
+        self.added = [t.content for t in added]
+        self.folded = [t.content.lower() for t in added if t.normalized]
         self.kind = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
@@ -85,7 +87,7 @@ class Encoder:
         return self.id_of[ranks_].tobytes() if ranks_ else b""
 
     def one(self, text: str) -> np.ndarray:
-        if _PLAIN.fullmatch(text) is None:
+        if _PLAIN.fullmatch(text) is None or any(t in text for t in self.added) or self.folded and any(t in text.lower() for t in self.folded):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, self.kind)
         if self.chunks is None:
             return self.id_of[self.engine.encode_to_numpy(text, disallowed_special=())]

@@ -69,9 +69,8 @@ def test_op2_rows(docs, no_docs, real, library):
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_encoder_equals_library(name, real, docs):
     t = Tokenizer.from_file(P.path(name))
-    t.encode_special_tokens = True
     mine, rng = encoder(P.path(name)), random.Random(4)
-    parts = ["a", "th", "ING", " ", "  ", "\n", "\t", "'s", "'", "9", "_", ".", "!!", "é", "É", "ß", "µ", "¿", "Ÿ", "×", "\r\n", "<|endoftext|>"]
+    parts = ["a", "th", "ING", " ", "  ", "\n", "\t", "'s", "'", "9", "_", ".", "!!", "é", "É", "ß", "µ", "¿", "Ÿ", "×", "\r\n", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>"]
     rare = [*parts, "e\u0301", "東", "🎉", "\x1c", "Σ", "İ", "\u3000", "\xa0", "\u0301", "\x85", "\u200b", "²", "½", "ª"]
     texts = ["".join(rng.choice(p) for _ in range(rng.randrange(40))) for p in (parts, rare) for _ in range(1500)]
     texts += [r.text for frame in (real, docs) for r in frame.collect()]
@@ -86,7 +85,6 @@ def test_encoder_equals_library(name, real, docs):
 
 def test_op5_rows(docs, no_docs, real):
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     for frame in (docs, real):
         rows = [(r.doc_id, t.encode(r.text or "", add_special_tokens=False).ids + [2]) for r in frame.collect()]
         got = sorted((tuple(r) for r in sstable.round_trip(frame).collect()), key=lambda r: r[1])
@@ -111,6 +109,29 @@ def test_shard_lookup(tmp_path):
         assert [x.tolist() for x in shard.get(i)] == [x for _, j, x in rows if i == j]
     assert not any(shard.get(i) for i in (-6, 1, 1999, 5000, 9999))
     assert sum(shard.may_hold(i) for i in range(1, 4000, 2)) < 100
+    whole = path.read_bytes()
+    for at in range(0, len(whole), len(whole) // 60):  # any damage is noticed
+        path.write_bytes(whole[:at] + bytes([whole[at] ^ 4]) + whole[at + 1 :])
+        with pytest.raises((ValueError, OSError)):
+            bad = sstable.Shard(f"file://{path}")
+            bad.may_hold(1)
+            list(bad.scan())
+
+
+def test_lookup_over_shards(spark, tmp_path):
+    rows = [(i // 2 if i % 5 else 7, f"text {i}") for i in range(400)] + [(None, "no id"), (-3, "negative")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sstable.write(frame, f"file://{tmp_path}/shards").write.parquet(f"{tmp_path}/manifest")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    manifest = spark.read.parquet(f"{tmp_path}/manifest")
+    assert manifest.count() > 2
+    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    for i in (None, -3, 0, 7, 30, 199, -4, 1000):
+        want = sorted(t.encode(x, add_special_tokens=False).ids + [2] for j, x in rows if j == i)
+        assert sorted(x.tolist() for x in sstable.lookup(manifest, i)) == want
 
 
 @pytest.mark.parametrize("weights", [None, "own"])
@@ -131,7 +152,6 @@ def test_schedule_brute_force(weights):
 @pytest.mark.parametrize("weights", [None, {"a": 3, "c": 1}])
 def test_op10_rows(docs, no_docs, real, weights):
     t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
     for frame in (docs, real):
         rows = [(r.doc_id, r.source, t.encode(r.text or "", add_special_tokens=False).ids + [2]) for r in frame.collect()]
         got = packing.pack(frame, weights=weights).collect()
@@ -162,6 +182,34 @@ def test_op10_rows(docs, no_docs, real, weights):
     assert packing.pack(no_docs).count() == 0
 
 
+@pytest.mark.parametrize("weights", [None, {"hot": 3}])
+def test_rare_sources_run_level(spark, weights):
+    """Sources that share the last queue: none is ahead of another by more than a document."""
+    rng, rows = random.Random(8), [(0, "hot " * 60_000, "hot")]
+    for s in range(12):
+        rows += [(len(rows) + i, " ".join(["some"] * rng.randrange(1, 4)), f"s{s}") for i in range(rng.randrange(1, 9))]
+    rows += [(len(rows), "null source", None), (len(rows), "null source", None)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5), weights=weights, length=512).collect()
+    source = {i: s for i, _, s in rows}
+    size, n = defaultdict(int), {}
+    for p in got:
+        n.setdefault((p.doc_id, source[p.doc_id]), p.doc_tokens)
+    pool = sorted(((p.sequence_id, p.offset, p.doc_id) for p in got if source[p.doc_id] != "hot" and p.start == 0))
+    assert sum(p.length for p in got) == sum(p.doc_tokens for p in got if p.start == 0)
+    for p in got:
+        if p.start == 0:
+            size[source[p.doc_id]] += p.doc_tokens
+    assert max(v for k, v in size.items() if k != "hot") * packing.LEAST_SHARE < sum(size.values())
+    served = defaultdict(int)
+    tokens = {p.doc_id: p.doc_tokens for p in got}
+    biggest = max(t for i, t in tokens.items() if i)
+    for _, _, i in pool:
+        served[source[i]] += tokens[i]
+        far = [served[s] / (1 if weights else size[s]) for s in size if s != "hot" and served[s] < size[s]]
+        if len(far) > 1:
+            assert max(far) - min(far) <= biggest / (1 if weights else min(size.values())) + 1e-9
+
+
 def test_mixture_in_every_window(real):
     got = packing.pack(real)
     share = {r.source: r.n for r in got.join(real.select("doc_id", "source"), "doc_id").groupBy("source").agg({"length": "sum"}).withColumnRenamed("sum(length)", "n").collect()}
