@@ -4,7 +4,9 @@ import hashlib
 import re
 from collections import defaultdict
 
+import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tessera.llm import exact, simhash
 from tessera.llm.components import components
@@ -82,6 +84,50 @@ def test_index_persists(spark, docs, tmp_path):
     assert "SortMergeJoin" in plan
 
 
+def test_index_keeps_its_buckets(spark, docs, tmp_path):
+    path = f"file://{tmp_path}/index"
+    many = spark.createDataFrame([(i, f"text {i}") for i in range(50)], "doc_id long, text string")
+    tables = {t.name for t in spark.catalog.listTables()}
+    with exact.DigestIndex(spark, path, 4) as index:
+        assert exact.deduplicate(many, index).count() == 50
+    for other in (7, 2):
+        with pytest.raises(ValueError, match="4 buckets"):
+            exact.DigestIndex(spark, path, other)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        with exact.DigestIndex(spark, path) as index:
+            assert index.buckets == 4 and exact.deduplicate(many, index).count() == 0 and index.rows().count() == 50
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert {t.name for t in spark.catalog.listTables()} <= tables
+
+
+def test_index_batches_can_be_repeated(spark, tmp_path, monkeypatch):
+    """A batch that failed after its append keeps the same documents when it runs again; compaction changes nothing."""
+    path = f"file://{tmp_path}/index"
+    batches = [spark.createDataFrame([(100 * k + i, f"text {60 * k + i}") for i in range(80)], "doc_id long, text string") for k in range(3)]
+    with exact.DigestIndex(spark, path, 4) as index:
+        assert exact.deduplicate(batches[0], index, batch="a").count() == 80
+        once = sorted(r.doc_id for r in exact.deduplicate(batches[1], index, batch="b").collect())
+        assert len(once) == 60 and sorted(r.doc_id for r in exact.deduplicate(batches[1], index, batch="b").collect()) == once
+        assert index.rows().count() == 140
+        half = index.rows().where("batch = 'b'").limit(30)  # an append that was lost in part
+        rest = index.rows().where("batch = 'a'").unionByName(half)
+        rows = spark.createDataFrame([tuple(r) for r in rest.collect()], rest.schema)
+    other = f"file://{tmp_path}/other"
+    monkeypatch.setattr(exact.DigestIndex, "COMPACT", 2)
+    with exact.DigestIndex(spark, other, 4) as index:
+        for name in ("a", "b"):
+            index.append(rows.where(F.col("batch") == name), name)
+        assert index._state == {"buckets": 4, "version": 1, "appends": 0} and index.rows().count() == 110
+        assert len(index.rows().inputFiles()) <= 4
+        assert sorted(r.doc_id for r in exact.deduplicate(batches[1], index, batch="b").collect()) == once
+        assert index.rows().count() == 140 and exact.deduplicate(batches[2], index, batch="c").count() == 60
+    with exact.DigestIndex(spark, other) as index:
+        assert index.rows().count() == 200 and index.rows().select("digest").distinct().count() == 200
+
+
 def test_simhash_brute_force(docs, real, no_docs):
     for frame in (docs, real):
         rows = [(r.doc_id, slow_fingerprint(r.text)) for r in frame.collect()]
