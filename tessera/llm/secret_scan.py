@@ -23,6 +23,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import pairwise
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -43,8 +44,6 @@ ALPHA, VISITS, DEVIATIONS = 0.01, 20, 3.3
 #: How many times likelier than an ordinary run a run must be under a format.
 ODDS = 1e9
 _FLOOR = 1e-4
-#: Candidates (of at most so many characters) whose answer a worker remembers.
-MEMO, MEMO_LENGTH = 400_000, 64
 
 
 def base_spans(text: str) -> list[tuple[int, int, int, str]]:
@@ -75,6 +74,10 @@ def candidates(text: str, base: list[tuple[int, int, int, str]]) -> Iterator[tup
             yield start, end
 
 
+def _runs(text: str, base: list[tuple[int, int, int, str]]) -> set[str]:
+    return {text[s:e] for s, e in candidates(text, base)} if base else set(_RUN.findall(text))
+
+
 _CLASSES = ("0123456789", "abcdef", "ghijklmnopqrstuvwxyz", "ABCDEF", "GHIJKLMNOPQRSTUVWXYZ", *"+/_.=-")
 _CLASS_OF = {c: k for k, chars in enumerate(_CLASSES) for c in chars}
 
@@ -264,6 +267,13 @@ class Automaton:
         return total if total >= least else -math.inf
 
 
+    def most(self, c: str) -> float:
+        """The highest log-likelihood that any state gives to the character."""
+        k = _CLASS_OF[c]
+        size = len(_CLASSES[k])
+        return max(math.log(s.seen[k] / s.n * (s.chars[c] + 1) / (s.seen[k] + size)) if s.seen[k] else math.log(_FLOOR / size) for s in self.states)
+
+
 class Ordinary:
     """Character pairs of ordinary runs, start and end included; every run weighs the same.
 
@@ -300,25 +310,47 @@ class Formats:
     def __init__(self, labelled: dict[str, list[str]], ordinary: list[str]) -> None:
         self.plain = Ordinary(ordinary)
         self.kinds = [Automaton(values) for values in labelled.values() if values]
-        self._memo: dict[str, bool] = {}
+        # what a character after another one can gain at most, in any state; code 0 is the start
+        self._code = np.zeros(256, np.uint8)
+        signs = ["", *_CLASS_OF]
+        for i, c in enumerate(signs[1:], 1):
+            self._code[ord(c)] = i
+        best = [max((a.most(c) for a in self.kinds), default=-math.inf) if c else 0.0 for c in signs]
+        logs = np.array([[self.plain.logs[a, b] for b in signs] for a in signs])
+        self._most = np.array(best)[None, :] - logs
 
     def likely(self, value: str) -> bool:
-        if (found := self._memo.get(value)) is None:
-            least = self.plain.score(value) + math.log(ODDS)
-            found = any(a.score(value, least) >= least for a in self.kinds)
-            if len(value) <= MEMO_LENGTH:
-                if len(self._memo) >= MEMO:
-                    self._memo.clear()
-                self._memo[value] = found
-        return found
+        least = self.plain.score(value) + math.log(ODDS)
+        return any(a.score(value, least) >= least for a in self.kinds)
+
+    def hits(self, runs: set[str]) -> set[str]:
+        """The likely ones of many runs.  Nearly all others are ruled out by what they can gain at most."""
+        if not runs or not self.kinds:
+            return set()
+        values = list(runs)
+        codes = self._code[np.frombuffer("".join(values).encode(), np.uint8)]
+        ends = np.cumsum(np.fromiter(map(len, values), np.int64, len(values)))
+        starts = np.concatenate([[0], ends[:-1]])
+        before = np.concatenate([[0], codes[:-1]])
+        before[starts] = 0
+        most = np.add.reduceat(self._most[before, codes], starts) + self._most[codes[ends - 1], 0]
+        return {values[i] for i in np.flatnonzero(most >= math.log(ODDS) - 1e-6) if self.likely(values[i])}
+
+    def all_spans(self, texts: list[str | None]) -> list[list[tuple[int, int, int]]]:
+        """``(start, kind number, end)`` of all spans of each text, base and added, in order."""
+        texts = [t or "" for t in texts]
+        bases = [base_spans(t) for t in texts]
+        runs = [_runs(t, base) for t, base in zip(texts, bases, strict=True)]
+        hits, out = self.hits(set().union(*runs)), []
+        for t, base, mine in zip(texts, bases, runs, strict=True):
+            found = [(s, k, e) for s, k, e, _ in base]
+            if not hits.isdisjoint(mine):
+                found = sorted(found + [(s, 3, e) for s, e in candidates(t, base) if t[s:e] in hits])
+            out.append(found)
+        return out
 
     def spans(self, text: str) -> list[tuple[int, int, int]]:
-        """``(start, kind number, end)`` of all spans, base and added, in order."""
-        base = base_spans(text)
-        if base:
-            return sorted([(s, k, e) for s, k, e, _ in base] + [(s, 3, e) for s, e in candidates(text, base) if self.likely(text[s:e])])
-        hits = {r for r in set(_RUN.findall(text)) if self.likely(r)}
-        return [(m.start(), 3, m.end()) for m in _RUN.finditer(text) if m[0] in hits] if hits else []
+        return self.all_spans([text])[0]
 
 
 class _Lowest:
@@ -351,16 +383,16 @@ def train(docs: DataFrame, text: str = "text") -> Formats:
     def run(batches):
         lowest = {k: _Lowest(n) for k, n in sizes.items()}
         for b in slices(batches):
+            ordinary: set[str] = set()
             for t in b.column(0).to_pylist():
-                if not t:
-                    continue
-                base = base_spans(t)
+                base = base_spans(t or "")
                 for _, k, _, v in base:
                     if len(v) <= LETTERS:
                         lowest[KINDS[k]].offer(v)
-                for v in {t[s:e] for s, e in candidates(t, base)} if base else set(_RUN.findall(t)):
-                    if len(v) <= LETTERS:
-                        lowest["ordinary"].offer(v)
+                ordinary |= _runs(t or "", base)
+            for v in ordinary:
+                if len(v) <= LETTERS:
+                    lowest["ordinary"].offer(v)
         rows = [r for k, x in lowest.items() for r in x.rows(k)]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], ["kind", "value", "rank"])
 
@@ -395,8 +427,7 @@ def annotate(docs: DataFrame, formats: Formats | None = None, id_col: str = "doc
     def run(batches):
         for b in slices(batches):
             out = []
-            for t in b.column(1).to_pylist():
-                spans = model.spans(t or "")
+            for spans in model.all_spans(b.column(1).to_pylist()):
                 base = [s for s in spans if s[1] < 3]
                 n = Counter(k for _, k, _ in base)
                 out.append((n[0], n[1], n[2], hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(spans)))
@@ -416,8 +447,8 @@ def redact(docs: DataFrame, formats: Formats | None = None, text: str = "text",
     """
     model, at, names = formats or train(docs, text), docs.columns.index(text), docs.columns
 
-    def clean(t: str | None) -> str | None:
-        if not t or not (spans := model.spans(t)):
+    def clean(t: str | None, spans: list[tuple[int, int, int]]) -> str | None:
+        if not spans:
             return t
         out, end = [], 0
         for s, _, e in spans:
@@ -428,6 +459,8 @@ def redact(docs: DataFrame, formats: Formats | None = None, text: str = "text",
 
     def run(batches):
         for b in slices(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(map(clean, c.to_pylist()), pa.string()) if i == at else c for i, c in enumerate(b.columns)], names)
+            texts = b.column(at).to_pylist()
+            cleaned = pa.array(map(clean, texts, model.all_spans(texts)), pa.string())
+            yield pa.RecordBatch.from_arrays([cleaned if i == at else c for i, c in enumerate(b.columns)], names)
 
     return docs.mapInArrow(run, docs.schema)
