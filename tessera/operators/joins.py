@@ -38,10 +38,13 @@ def bloom_join(r: DataFrame, s: DataFrame, key: str = "b", buckets: int = 10_000
 
 
 def reduction_stats(r: DataFrame, s: DataFrame, key: str = "b", buckets: int = 10_000) -> DataFrame:
-    """One row: bits sent, rows of S with and without reduction, and rows that take part."""
+    """One row: bits set, rows of S with and without reduction, rows that take part, and the bytes
+    each side sends: R its filter, S each key once (8 bytes) with its values (8 bytes each)."""
     bits = bucket_filter(r, key, buckets)
     left = bits.agg(F.count(F.lit(1)).alias("bits_set"))
-    mid = reduced(s, key, F.broadcast(bits), buckets).agg(F.count(F.lit(1)).alias("rows_shipped"))
+    sent = reduced(s, key, F.broadcast(bits), buckets).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    rows, keys = F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))
+    mid = sent.agg(rows.alias("rows_shipped"), F.lit(-(-buckets // 8)).cast("bigint").alias("bytes_from_r"), (8 * (rows + keys)).alias("bytes_from_s"))
     exact = s.join(r.select(key), key, "left_semi").agg(F.count(F.lit(1)).alias("rows_matching"))
     whole = s.agg(F.count(F.lit(1)).alias("rows_total"))
     return left.crossJoin(mid).crossJoin(exact).crossJoin(whole)  # four single rows
@@ -52,7 +55,7 @@ def grouped_values(s: DataFrame, key: str = "b", value: str = "c") -> DataFrame:
     return s.groupBy(key).agg(F.array_sort(F.collect_list(value)).alias("values"))
 
 
-def _before(parts: DataFrame, marks: DataFrame, block: int, fold, merge) -> DataFrame:
+def blocks_before(parts: DataFrame, marks: DataFrame, block: int, fold, merge) -> DataFrame:
     """``(id, x)``, two rows for each mark: what ``fold`` makes of ``parts(key, blk, x)`` before it.
 
     One row comes from the blocks of the mark's own run of ``block`` blocks, the other from whole
@@ -83,7 +86,7 @@ def count_terms(events: DataFrame, points: DataFrame, block: int) -> DataFrame:
     marked = events.select("key", "seq", blk.alias("blk"))
     at = points.select("id", "key", F.col("seq").alias("p_seq"), blk.alias("blk"))
     sums = marked.groupBy("key", "blk").agg(F.count(F.lit(1)).alias("x"))
-    before = _before(sums, at.select("key", "blk", "id"), block, F.sum, F.sum("x"))
+    before = blocks_before(sums, at.select("key", "blk", "id"), block, F.sum, F.sum("x"))
     inside = at.join(marked, ["key", "blk"]).where("seq <= p_seq").select("id", F.lit(1).cast("bigint").alias("x"))
     return before.select("id", F.coalesce("x", F.lit(0).cast("bigint")).alias("x")).unionByName(inside)
 
@@ -103,7 +106,7 @@ def as_of(points: DataFrame, versions: DataFrame, block: int) -> DataFrame:
     at = points.select("id", "key", "seq", F.floor(F.col("seq") / F.lit(block)).cast("bigint").alias("blk"))
     pair = F.struct("wts", "value")
     last = held.groupBy("key", "blk").agg(F.max_by(pair, "wts").alias("x"))
-    carried = _before(last, at.select("key", "blk", "id"), block, lambda c: F.last(c, ignorenulls=True), F.max_by("x", "blk"))
+    carried = blocks_before(last, at.select("key", "blk", "id"), block, lambda c: F.last(c, ignorenulls=True), F.max_by("x", "blk"))
     inside = at.join(held, ["key", "blk"]).where("wts <= seq").select("id", pair.alias("x"))
     found = carried.where("x IS NOT NULL").unionByName(inside).groupBy("id").agg(F.max_by("x", "x.wts").alias("found"))
     return points.join(found, "id", "left").select(*points.columns, F.col("found.wts").alias("wts"), F.col("found.value").alias("value"))

@@ -9,6 +9,7 @@ in the store, one shard of keys and transactions apart from the next.
 from __future__ import annotations
 
 from collections import defaultdict
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -19,6 +20,8 @@ from tessera.sources.shared import Shared
 
 #: Timestamps of a block of the as-of join.
 BLOCK = 4_096
+#: Edges that a round of a cascade follows, and rounds after which its tables become one.
+HOPS, FOLD = 4, 4
 
 
 def asof_reads(reads: DataFrame, versions: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -53,8 +56,9 @@ def reads_from(reads: DataFrame, versions: DataFrame, block: int = BLOCK) -> Dat
 def cascade(edges: DataFrame, aborted: DataFrame) -> DataFrame:
     """``(xact)``: aborted transactions and all that read from them, directly or through others.
 
-    Readers are later than their writers, so the frontier runs dry; each round reads the edges of
-    the frontier alone, and its result is a written table.
+    Readers are later than their writers, so the frontier runs dry.  A round follows ``HOPS`` edges
+    from the frontier; what it adds is a written table, and all that is found is folded into one
+    table every ``FOLD`` rounds.
     """
     shared = Shared(edges.sparkSession, "cascade")
     edges = shared.save(edges, "edges")
@@ -62,9 +66,14 @@ def cascade(edges: DataFrame, aborted: DataFrame) -> DataFrame:
     done, k = frontier, 0
     while not frontier.isEmpty():
         k += 1
-        hit = edges.join(frontier, edges["writer"] == frontier["xact"], "left_semi").select(F.col("reader").alias("xact")).distinct()
-        frontier = shared.save(hit.join(done, "xact", "left_anti"), f"f{k}")
+        near, hits = frontier, []
+        for _ in range(HOPS):
+            near = edges.join(near, edges["writer"] == near["xact"], "left_semi").select(F.col("reader").alias("xact")).distinct()
+            hits.append(near)
+        frontier = shared.save(reduce(DataFrame.unionByName, hits).distinct().join(done, "xact", "left_anti"), f"f{k}")
         done = done.unionByName(frontier)
+        if k % FOLD == 0:
+            done = shared.save(done, f"done-{k}")
     return done
 
 
@@ -84,6 +93,7 @@ class Store:
         self.last = 0
         self.status: dict[int, str] = {}  # active, pending, committed, aborted
         self.data: dict[int, dict[int, list[int]]] = {}  # key -> writer -> [value, latest reader]
+        self.wrote: dict[int, set[int]] = defaultdict(set)  # writer -> keys it has versions of
         self.waits: dict[int, set[int]] = defaultdict(set)  # reader -> writers it depends on
         self.feeds: dict[int, set[int]] = defaultdict(set)  # writer -> its readers
 
@@ -114,6 +124,7 @@ class Store:
         if self.data.get(key):
             self._fail(xact, f"key {key} is there already")
         self.data[key] = {xact: [value, xact]}
+        self.wrote[xact].add(key)
 
     def read(self, xact: int, key: int) -> int:
         self._active(xact)
@@ -134,6 +145,7 @@ class Store:
             self.data[key][xact][0] = value
         else:
             self.data[key][xact] = [value, xact]
+            self.wrote[xact].add(key)
 
     def commit(self, xact: int) -> str:
         """Committed, or pending until all that it read from have committed."""
@@ -166,11 +178,10 @@ class Store:
             todo += self.feeds.pop(x, ())
             for writer in self.waits.pop(x, ()):
                 self.feeds[writer].discard(x)
-        dead = set(gone)
-        for key in list(self.data):
-            self.data[key] = {w: v for w, v in self.data[key].items() if w not in dead}
-            if not self.data[key]:
-                del self.data[key]
+            for key in self.wrote.pop(x, ()):
+                del self.data[key][x]
+                if not self.data[key]:
+                    del self.data[key]
         return sorted(gone)
 
 

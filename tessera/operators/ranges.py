@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.hashing import linear, seeds
-from tessera.operators.sketches import bloom_size
+from tessera.operators.sketches import bloom_size, packed, probed
 
 HEIGHTS = 32
 
@@ -59,14 +59,13 @@ def _positions(nodes: DataFrame, sizes: list[tuple[int, int]]) -> DataFrame:
 
 
 def range_filters(keys: DataFrame, key: str, sizes: list[tuple[int, int]]) -> DataFrame:
-    """``(h, pos)``: the set bits of one Bloom filter for each height."""
-    return _positions(prefixes(keys, key), sizes).select("h", "pos").distinct()
+    """``(h, word, bits)``: one Bloom filter for each height, 64 bits to a word."""
+    return packed(_positions(prefixes(keys, key), sizes).select("h", "pos"), "h")
 
 
 def range_bloom(queries: DataFrame, filters: DataFrame, sizes: list[tuple[int, int]]) -> DataFrame:
     """``queries`` with ``found``: true wherever a key lies in [l, r], and seldom elsewhere."""
     probes = _positions(cover(queries.select("id", "l", "r")), sizes)
-    held = filters.withColumn("held", F.lit(1))
-    nodes = probes.join(held, ["h", "pos"], "left").groupBy("id", "h", "node").agg((F.count("held") == F.count(F.lit(1))).alias("all"))
+    nodes = probed(probes, filters, sum(bits for bits, _ in sizes), "h").groupBy("id", "h", "node").agg((F.count("held") == F.count(F.lit(1))).alias("all"))
     hits = nodes.groupBy("id").agg(F.bool_or("all").alias("hit"))
     return queries.join(hits, "id", "left").select(*queries.columns, F.coalesce("hit", F.lit(False)).alias("found"))

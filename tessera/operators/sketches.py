@@ -11,6 +11,8 @@ from tessera.functions.hashing import linear, seeds
 from tessera.operators.joins import counts_up_to
 
 LIMIT_BYTES = 10_000_000
+#: Words of filters up to which they are broadcast, 16 bytes each.
+BROADCAST_WORDS = 1_000_000
 
 
 def count_min_size(error: float, confidence: float) -> tuple[int, int]:
@@ -55,17 +57,31 @@ def count_min_estimate(sketch: DataFrame, queries: DataFrame, key: str, depth: i
     return queries.join(found, F.col(key) == F.col("_key")).drop("_key")
 
 
+def packed(positions: DataFrame, *by: str) -> DataFrame:
+    """``(*by, word, bits)``: the set bits of filters, 64 to a word, from ``(*by, pos)``."""
+    return positions.groupBy(*by, F.expr("pos div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, int(pos % 64)))").alias("bits"))
+
+
+def probed(probes: DataFrame, words: DataFrame, size: int, *by: str) -> DataFrame:
+    """``probes`` with ``held``, 1 where the bit at ``pos`` is set.
+
+    A filter of ``size`` bits has size / 64 words; up to ``BROADCAST_WORDS`` they are broadcast.
+    """
+    words = F.broadcast(words) if size <= 64 * BROADCAST_WORDS else words
+    joined = probes.withColumn("word", F.expr("pos div 64")).join(words, [*by, "word"], "left")
+    return joined.select(*probes.columns, F.expr("CASE WHEN shiftright(bits, int(pos % 64)) & 1 = 1 THEN 1 END").alias("held"))
+
+
 def bloom(keys: DataFrame, key: str, bits: int, hashes: int, start: int = 54321) -> DataFrame:
-    """``(pos)``: the set bits, at most ``bits``."""
+    """``(word, bits)``: the filter's words, at most ``bits`` / 64."""
     distinct = keys.select(F.col(key).alias("key")).distinct()
-    return _hashed(distinct, "key", hashes, bits, start, "pos").select("pos").distinct()
+    return packed(_hashed(distinct, "key", hashes, bits, start, "pos").select("pos"))
 
 
 def bloom_contains(filter_bits: DataFrame, queries: DataFrame, key: str, bits: int, hashes: int, start: int = 54321) -> DataFrame:
     """``queries`` with ``member``: true for every key in the filter and for few others."""
     probes = _hashed(queries.select(F.col(key).alias("key")).distinct(), "key", hashes, bits, start, "pos")
-    held = filter_bits.withColumn("held", F.lit(1))
-    found = probes.join(held, "pos", "left").groupBy(F.col("key").alias("_key")).agg((F.count("held") == F.count(F.lit(1))).alias("member"))
+    found = probed(probes, filter_bits, bits).groupBy(F.col("key").alias("_key")).agg((F.count("held") == F.count(F.lit(1))).alias("member"))
     return queries.join(found, F.col(key) == F.col("_key")).drop("_key")
 
 

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from tessera.functions.hashing import linear_sql, seeds
 from tessera.functions.net import first_octet, ipv4_to_long, long_to_ipv4
 from tessera.operators import frequency, joins, mvto, ranges, select, sketches, skyline
-from tessera.sources.readers import inline_relations, table
+from tessera.sources.readers import inline_relations, table, with_sequence
+from tessera.sources.shared import Shared
 from tessera.sources.writers import answer_line
 from tessera.streaming import frequency as live
 
@@ -77,6 +78,19 @@ def dict_round_trip(spark, sf):
     return select.decode(select.encode(part, "p_brand", codes), "p_brand", codes)
 
 
+_FILE = "CASE WHEN event_id % 100 = 0 THEN 'a' WHEN event_id % 10 = 3 THEN 'b' ELSE 'c' END"
+
+
+@register(f"SELECT event_id, CAST(row_number() OVER (ORDER BY {_FILE}, event_id) - 1 AS BIGINT) AS seq FROM events")
+def folder_sequence(spark, sf):
+    """Lines numbered through a folder of files, the smallest of which comes first."""
+    folder = f"{Shared(spark, 'folder').path}/events"
+    lines = table(spark, sf, "events").select("event_id", F.concat_ws("\t", "event_id", "event_type").alias("value"), F.expr(_FILE).alias("file"))
+    lines.repartition("file").sortWithinPartitions("file", "event_id").select("value", "file").write.partitionBy("file").text(folder)
+    rows = spark.read.text(folder).select(F.split_part("value", F.lit("\t"), F.lit(1)).cast("bigint").alias("event_id"))
+    return with_sequence(rows)
+
+
 # -- joins --------------------------------------------------------------------------------------
 
 def _rich(spark, sf):
@@ -116,7 +130,8 @@ def bloom_join(spark, sf):
 @register("""WITH r AS (SELECT c_custkey AS b FROM customer WHERE c_acctbal > 0), s AS (SELECT o_custkey AS b FROM orders),
 bits AS (SELECT DISTINCT b % 997 AS bit FROM r)
 SELECT (SELECT count(*) FROM bits) AS bits_set, (SELECT count(*) FROM s WHERE b % 997 IN (SELECT bit FROM bits)) AS rows_shipped,
-(SELECT count(*) FROM s WHERE b IN (SELECT b FROM r)) AS rows_matching, (SELECT count(*) FROM s) AS rows_total""")
+(SELECT count(*) FROM s WHERE b IN (SELECT b FROM r)) AS rows_matching, (SELECT count(*) FROM s) AS rows_total,
+CAST(125 AS BIGINT) AS bytes_from_r, (SELECT 8 * (count(*) + count(DISTINCT b)) FROM s WHERE b % 997 IN (SELECT bit FROM bits)) AS bytes_from_s""")
 def bloom_reduction_stats(spark, sf):
     return joins.reduction_stats(*_bloom_sides(spark, sf), buckets=997)
 
@@ -126,11 +141,10 @@ def bloom_join_inline(spark, sf):
     return joins.bloom_join(*inline_relations(spark))
 
 
-@register("SELECT o_custkey AS b, CAST(count(*) AS BIGINT) AS n, CAST(min(o_orderkey) AS BIGINT) AS first, CAST(max(o_orderkey) AS BIGINT) AS last FROM orders GROUP BY 1")
+@register("SELECT o_custkey AS b, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey) AS values FROM orders GROUP BY 1")
 def grouped_values(spark, sf):
     s = table(spark, sf, "orders").select(F.col("o_custkey").alias("b"), F.col("o_orderkey").alias("c"))
-    found = joins.grouped_values(s)
-    return found.select("b", F.size("values").cast("bigint").alias("n"), F.element_at("values", 1).alias("first"), F.element_at("values", -1).alias("last"))
+    return joins.grouped_values(s).select("b", F.concat_ws(",", F.transform("values", lambda v: v.cast("string"))).alias("values"))
 
 
 # -- skyline ------------------------------------------------------------------------------------
@@ -164,6 +178,17 @@ def skyline_dc(spark, sf):
 _ORDERS = "(SELECT o_orderkey, o_totalprice AS price, o_custkey AS age FROM orders)"
 
 
+_EDGES_OF_RANGE = "CASE WHEN o_custkey % 50 = 0 THEN CAST('infinity' AS DOUBLE) WHEN o_custkey % 50 = 1 THEN 0 ELSE o_totalprice END"
+
+
+@register(f"""WITH o AS (SELECT o_orderkey, 9007199254740992 - o_custkey % 3 + o_orderkey % 2 * 2 AS x, {_EDGES_OF_RANGE} AS y FROM orders), m AS (SELECT x, min(y) AS y FROM o GROUP BY 1)
+SELECT o_orderkey, o.x, o.y FROM o WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.x <= o.x AND m.y <= o.y AND (m.x < o.x OR m.y < o.y))""")
+def skyline_edges_of_range(spark, sf):
+    """Integers around 2^53, which doubles don't tell apart, and infinity."""
+    rows = table(spark, sf, "orders").selectExpr("o_orderkey", "9007199254740992 - o_custkey % 3 + o_orderkey % 2 * 2 AS x", f"{_EDGES_OF_RANGE} AS y")
+    return skyline.skyline_local_global(rows, ["x", "y"])
+
+
 @register(f"""WITH o AS {_ORDERS}, m AS (SELECT price, min(age) AS age FROM o GROUP BY 1),
 s AS (SELECT price, age, min(age) OVER (ORDER BY price ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS low FROM m)
 SELECT o_orderkey, o.price, o.age FROM o JOIN s ON o.price = s.price AND o.age = s.age WHERE low IS NULL OR s.age < low""")
@@ -172,7 +197,11 @@ def skyline_sort_orders(spark, sf):
     return skyline.skyline_sorted(rows, "price", "age")
 
 
-@register(_not_exists("lineitem", ["l_discount", "l_tax", "l_extendedprice"], "l_orderkey, l_linenumber, l_discount, l_tax, l_extendedprice"))
+# the least price of each (discount, tax), of which there are few, decides
+@register("""WITH m AS (SELECT l_discount, l_tax, min(l_extendedprice) AS l_extendedprice FROM lineitem GROUP BY 1, 2),
+s AS (SELECT * FROM m a WHERE NOT EXISTS (SELECT 1 FROM m b WHERE b.l_discount <= a.l_discount AND b.l_tax <= a.l_tax AND b.l_extendedprice <= a.l_extendedprice
+AND (b.l_discount < a.l_discount OR b.l_tax < a.l_tax OR b.l_extendedprice < a.l_extendedprice)))
+SELECT l_orderkey, l_linenumber, l_discount, l_tax, l_extendedprice FROM lineitem JOIN s USING (l_discount, l_tax, l_extendedprice)""")
 def skyline_dc_three(spark, sf):
     rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_discount", "l_tax", "l_extendedprice")
     return skyline.skyline_local_global(rows, ["l_discount", "l_tax", "l_extendedprice"])
@@ -446,4 +475,12 @@ def stream_block_counts(spark, sf):
 
 @register(SQL["point_freq"])
 def stream_point_freq(spark, sf):
-    return live.run_available(live.point_frequency(_live(spark, sf), _queries(spark, sf).drop("w")), spark, "points")
+    asked = _queries(spark, sf).drop("w")
+    terms = live.run_available(live.block_terms(_live(spark, sf), asked, 512), spark, "points")
+    return live.point_frequency(terms, asked, 512)
+
+
+@register(SQL["window_freq_subwindow"])
+def stream_window_freq(spark, sf):
+    """Every query's own event is in its window, so each has a row."""
+    return live.run_available(live.window_frequency(_live(spark, sf), _queries(spark, sf)), spark, "windows")

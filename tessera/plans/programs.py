@@ -6,6 +6,8 @@
     python -m tessera.plans.programs points EVENTS QUERIES OUT [--sketch]
     python -m tessera.plans.programs ranges EVENTS QUERIES OUT
     python -m tessera.plans.programs skyline IN OUT [--block N]
+    python -m tessera.plans.programs bloom R S OUT [--buckets N]
+    python -m tessera.plans.programs schedule LOG OUT
 """
 
 from __future__ import annotations
@@ -16,14 +18,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.net import first_octet, ipv4_to_long
-from tessera.operators import frequency, joins, ranges, select, sketches, skyline
+from tessera.operators import frequency, joins, mvto, ranges, select, sketches, skyline
 from tessera.sources import readers, writers
 
 
 def column_store(spark: SparkSession, source: str, out: str, schema: str, projection: str, where: str = "", dictionary: str | None = None) -> DataFrame:
-    """``SELECT projection WHERE where`` of a delimited file, in file order, to one file.
+    """``SELECT projection WHERE where`` of a delimited file, in file order.
 
-    With ``dictionary`` the clauses on that (string) column are answered on its codes.
+    The part files are in order by name; each is a range of rows.  With ``dictionary`` the clauses
+    on that (string) column are answered on its codes.
     """
     rows = readers.with_sequence(readers.delimited(spark, source, schema), "_row")
     columns = [c.strip() for c in projection.split(",")]
@@ -38,7 +41,7 @@ def column_store(spark: SparkSession, source: str, out: str, schema: str, projec
             if name == dictionary:
                 coded = select.encoded_where(coded, dictionary, codes, op, value)
         found = select.decode(coded, dictionary, codes).select(*columns, "_row")
-    writers.write_ordered(found, ["_row"], out, drop=["_row"], single=True)
+    writers.write_ordered(found, ["_row"], out, drop=["_row"])
     return found.drop("_row")
 
 
@@ -90,11 +93,28 @@ def skyline_file(spark: SparkSession, source: str, out: str, block: int = skylin
     return found
 
 
+def bloom_join_files(spark: SparkSession, r: str, s: str, out: str, buckets: int = 10_000) -> DataFrame:
+    """The natural join of ``a|b`` and ``b|c`` files in ``OUT/rows``, the bytes each side sent in ``OUT/bytes``."""
+    left, right = readers.delimited(spark, r, "a BIGINT, b BIGINT", sep="|"), readers.delimited(spark, s, "b BIGINT, c BIGINT", sep="|")
+    found = joins.bloom_join(left, right, "b", buckets).select("a", "b", "c")
+    writers.write_unordered(found, f"{out}/rows", sep="|")
+    sent = joins.reduction_stats(left, right, "b", buckets).select("bytes_from_r", "bytes_from_s")
+    writers.write_unordered(sent, f"{out}/bytes", single=True)
+    return found
+
+
+def run_schedule(spark: SparkSession, log: str, out: str) -> DataFrame:
+    """Replay ``shard,seq,xact,op,key,value`` lines; one line an operation, by shard and step."""
+    found = mvto.replay(readers.delimited(spark, log, "shard BIGINT, seq BIGINT, xact BIGINT, op STRING, key BIGINT, value BIGINT"))
+    writers.write_ordered(found, ["shard", "seq"], out)
+    return found
+
+
 def main(args: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
     kinds = parser.add_subparsers(dest="program", required=True)
-    shapes = {"select": (column_store, ["source", "out", "schema", "projection", "where"]), "join": (hash_join, ["customer", "orders", "out"]), "windows": (window_answers, ["events", "queries", "out"]), "points": (point_answers, ["events", "queries", "out"]), "ranges": (range_answers, ["events", "queries", "out"]), "skyline": (skyline_file, ["source", "out"])}
-    options = {"select": {"dictionary": str}, "windows": {"window": int, "error": float}, "skyline": {"block": int}}
+    shapes = {"select": (column_store, ["source", "out", "schema", "projection", "where"]), "join": (hash_join, ["customer", "orders", "out"]), "windows": (window_answers, ["events", "queries", "out"]), "points": (point_answers, ["events", "queries", "out"]), "ranges": (range_answers, ["events", "queries", "out"]), "skyline": (skyline_file, ["source", "out"]), "bloom": (bloom_join_files, ["r", "s", "out"]), "schedule": (run_schedule, ["log", "out"])}
+    options = {"select": {"dictionary": str}, "windows": {"window": int, "error": float}, "skyline": {"block": int}, "bloom": {"buckets": int}}
     for name, (_, places) in shapes.items():
         one = kinds.add_parser(name)
         for place in places:

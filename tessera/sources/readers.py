@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,18 +34,23 @@ def delimited(spark: SparkSession, path: str, schema: str | T.StructType, sep: s
 
 
 def with_sequence(rows: DataFrame, name: str = "seq") -> DataFrame:
-    """Number rows from 0 in the order of the input's partitions.
+    """Number the rows of a scan from 0: files in the order of their paths, rows as they stand in them.
 
-    Each partition is counted, and starts after those before it: no row moves to number it.  The
-    input must read the same twice, as files do.
+    Each split of a file is counted, and starts after those before it: no row moves to number it.
+    Rows that come from no file are numbered in the order of their partitions.  The input must read
+    the same twice, as files do.
     """
-    at = F.monotonically_increasing_id()
-    marked = rows.withColumn("_at", at).withColumn("_part", F.shiftright("_at", 33))
-    sizes = marked.groupBy("_part").count()
-    order = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(F.col("_part").alias("_p"), F.coalesce(F.sum("count").over(order), F.lit(0)).alias("_start"))
-    joined = marked.join(F.broadcast(starts), F.col("_part") == F.col("_p"))  # a row for each partition
-    return joined.select(*rows.columns, (F.col("_start") + F.col("_at").bitwiseAND((1 << 33) - 1)).alias(name))
+    at = F.monotonically_increasing_id().alias("_at")
+    try:
+        marked = rows.select("*", at, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"))
+    except AnalysisException:
+        marked = rows.select("*", at).withColumn("_file", F.lit("")).withColumn("_start", F.shiftright("_at", 33))
+    sizes = marked.groupBy("_file", "_start").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    order = Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("_n").over(order), F.lit(0))
+    starts = sizes.select(F.col("_file").alias("_f"), F.col("_start").alias("_s"), (before - F.col("_first")).alias("_shift"))
+    joined = marked.join(F.broadcast(starts), (F.col("_file") == F.col("_f")) & (F.col("_start") == F.col("_s")))  # a row for each split
+    return joined.select(*rows.columns, (F.col("_at") + F.col("_shift")).alias(name))
 
 
 def events(spark: SparkSession, path: str) -> DataFrame:

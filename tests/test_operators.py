@@ -3,6 +3,7 @@
 import ipaddress
 import itertools
 import random
+from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from tessera.functions.hashing import PRIME, linear, seeds
 from tessera.functions.net import first_octet, ipv4_to_long, long_to_ipv4
 from tessera.operators import frequency, joins, mvto, ranges, select, sketches, skyline
+from tessera.plans import catalogue
 from tessera.sources import readers, writers
 from tessera.streaming import frequency as live
 
@@ -61,6 +63,21 @@ def test_sequence_over_many_partitions(spark):
     assert [(r.x, r.seq) for r in readers.with_sequence(frame).orderBy("x").collect()] == [(2 * i, i) for i in range(1000)]
 
 
+def test_sequence_over_a_folder(spark, tmp_path):
+    """Files count in the order of their names, not of their sizes; a file of many splits too."""
+    sizes = {"a.tsv": 1, "b.tsv": 50, "c.tsv": 3000, "d.tsv": 2}
+    lines = [f"{name}-{i}" for name, n in sizes.items() for i in range(n)]
+    for name, n in sizes.items():
+        (tmp_path / name).write_text("".join(f"{name}-{i}\trest\n" + "\n" * (i % 2) for i in range(n)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        got = {r.seq: r.ip for r in readers.events(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [got[i] for i in range(len(got))] == lines
+
+
 def test_where_text():
     assert select.parse_where("attr1|=|3,attr2|<| 7") == [("attr1", "=", "3"), ("attr2", "<", " 7")]
     assert select.parse_where("") == []
@@ -124,6 +141,27 @@ def test_skylines_agree(spark, kind):
     assert rows(skyline.skyline_local_global(frame, ["price", "age"], block=100)) == want
 
 
+def test_skylines_of_exact_values(spark):
+    big = 2**53
+    data = [(big + 1, 5.0), (big, 6.0), (big + 1, 6.0), (1, float("inf")), (3, float("inf")), (big + 2, float("nan")), (0, float("nan"))]
+    frame = spark.createDataFrame(data, "x long, y double")
+    want = [(0, "nan"), (1, "inf"), (big, "6.0"), (big + 1, "5.0")]
+    for got in (skyline.skyline_sorted(frame, "x", "y"), skyline.skyline_local_global(frame, ["x", "y"]), skyline.skyline_nested(frame, ["x", "y"])):
+        assert sorted((r.x, str(r.y)) for r in got.collect()) == want
+    assert rows(skyline.skyline_sorted(spark.createDataFrame([(1, float("inf"))], "x long, y double"), "x", "y")) == [(1, float("inf"))]
+    swapped = frame.where("x > 2").select("y", "x")
+    assert sorted(r.x for r in skyline.skyline_local_global(swapped, ["y", "x"], block=2).collect()) == sorted(r.x for r in skyline.skyline_nested(swapped, ["y", "x"]).collect())
+    words = spark.createDataFrame([("b", 2), ("a", 3), ("c", 1), ("c", 2)], "s string, n int")
+    assert rows(skyline.skyline_local_global(words, ["s", "n"])) == [("a", 3), ("b", 2), ("c", 1)]
+
+
+def test_skyline_merges_in_rounds(spark, monkeypatch):
+    monkeypatch.setattr(skyline, "MERGE", 2)
+    data = [(i, 400 - i, i * 7 % 5) for i in range(400)] * 2 + [(i, 500, 9) for i in range(400)]
+    frame = spark.createDataFrame(data, "a int, b int, c int").repartition(9)
+    assert rows(skyline.skyline_local_global(frame, ["a", "b", "c"], block=50)) == sorted(data[:800])
+
+
 # -- frequencies
 
 def test_jumping_window_bound(spark):
@@ -262,6 +300,92 @@ def test_replay_and_cascade_frames(spark):
     assert rows(dead) == [(i,) for i in range(8, 13)]
 
 
+class PlainStore:
+    """The same protocol on one flat list of versions, written without the store's bookkeeping."""
+
+    def __init__(self):
+        self.latest, self.state, self.versions, self.read_from = 0, {}, [], []  # versions: [key, writer, value, latest reader]
+
+    def do(self, op, x, key, value):
+        if op == "begin":
+            if x <= self.latest:
+                return "refused", None
+            self.latest, self.state[x] = x, "active"
+            return "ok", None
+        if op == "rollback":
+            if self.state.get(x) not in ("active", "pending"):
+                return "refused", None
+            self.abort(x)
+            return "ok", None
+        if self.state.get(x) != "active":
+            return "refused", None
+        if op == "commit":
+            self.state[x] = "pending"
+            while free := [y for y, s in self.state.items() if s == "pending" and all(self.state[w] == "committed" for r, w in self.read_from if r == y)]:
+                for y in free:
+                    self.state[y] = "committed"
+            return "ok", None
+        own = [v for v in self.versions if v[0] == key]
+        if op == "insert":
+            if own:
+                self.abort(x)
+                return "refused", None
+            self.versions.append([key, x, value, x])
+            return "ok", None
+        seen = max((v for v in own if v[1] <= x), key=lambda v: v[1], default=None)
+        if seen is None or op == "write" and seen[3] > x:
+            self.abort(x)
+            return "refused", None
+        if op == "read":
+            seen[3] = max(seen[3], x)
+            if seen[1] != x and self.state[seen[1]] != "committed":
+                self.read_from.append((x, seen[1]))
+            return "ok", seen[2]
+        if seen[1] == x:
+            seen[2] = value
+        else:
+            self.versions.append([key, x, value, x])
+        return "ok", None
+
+    def abort(self, x):
+        if self.state.get(x) in ("active", "pending"):
+            self.state[x] = "aborted"
+            self.versions = [v for v in self.versions if v[1] != x]
+            for r, w in list(self.read_from):
+                if w == x:
+                    self.abort(r)
+
+
+def _same_as_plain(got):
+    by_shard = defaultdict(list)
+    for r in got:
+        by_shard[r.shard].append(r)
+    for log in by_shard.values():
+        store, outcomes = PlainStore(), []
+        for r in sorted(log, key=lambda r: r.seq):
+            outcomes.append((r, store.do(r.op, r.xact, r.key, r.given)))
+        for r, (outcome, value) in outcomes:
+            assert (r.outcome, r.value, r.final) == (outcome, value, store.state.get(r.xact)), r
+
+
+def test_replay_against_a_plain_store(spark):
+    """The registered schedule and random ones, row by row."""
+    got = catalogue.QUERIES["mvto_replay"](spark, "/root/testdata/sf0.001").withColumn("given", F.expr("xact - 1"))
+    assert got.count() == 3_000
+    _same_as_plain(got.collect())
+    rng, log = random.Random(9), []
+    for shard in range(40):
+        begun = 0
+        for seq in range(rng.randrange(120)):
+            op = rng.choice(["begin", "begin", "insert", "read", "read", "write", "write", "commit", "rollback"])
+            begun += op == "begin"
+            x = begun if op == "begin" and rng.random() < 0.95 else rng.randrange(max(1, begun - 6), begun + 2)
+            log.append((shard, seq, x, op, rng.randrange(6), rng.randrange(100)))
+    frame = spark.createDataFrame(log, "shard long, seq long, xact long, op string, key long, value long")
+    given = frame.select("shard", "seq", F.col("value").alias("given"))
+    _same_as_plain(mvto.replay(frame).join(given, ["shard", "seq"]).collect())
+
+
 # -- streaming
 
 def test_streams_over_many_batches(spark, tmp_path):
@@ -270,5 +394,8 @@ def test_streams_over_many_batches(spark, tmp_path):
     stream = live.read_events(spark, f"{tmp_path}/in")
     assert rows(live.run_available(live.block_counts(stream, 20), spark, "t")) == rows(frequency.block_counts(frame, 20).select("blk", "key", "n"))
     queries = spark.createDataFrame([(100, 3), (499, 0), (3, 5)], "t long, key long")
-    got = rows(live.run_available(live.point_frequency(live.read_events(spark, f"{tmp_path}/in"), queries), spark, "t"))
-    assert got == [(t, k, n) for t, k, n in sorted(map(tuple, frequency.point_frequency(frame, queries).select("t", "key", "n").collect())) if n]
+    terms = live.run_available(live.block_terms(live.read_events(spark, f"{tmp_path}/in"), queries, 32), spark, "t")
+    assert rows(live.point_frequency(terms, queries, 32).select("t", "key", "n")) == rows(frequency.point_frequency(frame, queries).select("t", "key", "n"))
+    windows = queries.selectExpr("t", "key", "t div 2 + 1 AS w")
+    got = rows(live.run_available(live.window_frequency(live.read_events(spark, f"{tmp_path}/in"), windows), spark, "t").select("t", "key", "w", "n"))
+    assert got == [(t, k, w, n) for t, k, w in sorted((t, k, t // 2 + 1) for t, k in [(100, 3), (499, 0), (3, 5)]) if (n := sum(i % 7 == k and t - w < i <= t for i in range(500)))]

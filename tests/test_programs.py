@@ -44,6 +44,20 @@ def test_answers(spark, tmp_path):
     assert out(tmp_path / "r") == ["false,true,true,false"]
 
 
+def test_bloom(spark, tmp_path):
+    (tmp_path / "r.tbl").write_text("".join(f"{2 * i}|{3 * i}\n" for i in range(100)))
+    (tmp_path / "s.tbl").write_text("".join(f"{3 * i}|{4 * i}\n" for i in range(50, 150)) + "150|7\n-1|7\n")
+    programs.main(["bloom", f"{tmp_path}/r.tbl", f"{tmp_path}/s.tbl", f"{tmp_path}/out", "--buckets", "1000"])
+    assert sorted(out(tmp_path / "out/rows")) == sorted([f"{2 * i}|{3 * i}|{4 * i}" for i in range(50, 100)] + ["100|150|7"])
+    assert out(tmp_path / "out/bytes") == [f"125,{8 * (51 + 50)}"]
+
+
+def test_schedule(spark, tmp_path):
+    (tmp_path / "log.csv").write_text("0,1,1,begin,,\n0,2,1,insert,5,50\n0,3,2,begin,,\n0,4,2,read,5,\n0,5,2,commit,,\n0,6,1,commit,,\n")
+    programs.main(["schedule", f"{tmp_path}/log.csv", f"{tmp_path}/out"])
+    assert out(tmp_path / "out")[3] == "0,4,2,read,5,ok,50,committed" and len(out(tmp_path / "out")) == 6
+
+
 def test_skyline(spark, tmp_path):
     (tmp_path / "car.csv").write_text("5|5\n3|9\n9|3\n6|6\n3|9\n")
     programs.main(["skyline", f"{tmp_path}/car.csv", f"{tmp_path}/out", "--block", "2"])
