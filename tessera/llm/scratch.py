@@ -1,52 +1,13 @@
-"""Intermediate tables in the folder that driver and executors share.
-
-``spark.checkpoint.dir`` names that folder on a cluster.  Where the setting is absent (tests, a
-laptop) a temporary folder of this process is used and removed at exit.
-"""
+"""Rows in pieces, names, and the winners of groups; ``Scratch`` holds the tables of one call."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_own: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of this session, without a trailing slash."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not _own:
-        _own.append(tempfile.mkdtemp(prefix="tessera-"))
-        atexit.register(shutil.rmtree, _own[0], True)
-    return f"file://{_own[0]}"
-
-
-class Scratch:
-    """One folder for the tables of one call of an operator."""
-
-    def __init__(self, spark: SparkSession, name: str) -> None:
-        self.spark = spark
-        self.path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` as Parquet and read it back: lineage ends here, and a lost executor costs
-        no more than reading the files again."""
-        where = f"{self.path}/{name}"
-        df.write.mode("overwrite").option("compression", "zstd").parquet(where)
-        return self.spark.read.schema(df.schema).parquet(where)
+from tessera.sources.shared import Shared as Scratch
 
-    def drop(self, name: str = "") -> None:
-        """Delete a table that no later step reads."""
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}".rstrip("/"))
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+__all__ = ["Scratch", "keep_winners", "row_mark", "slices", "unused", "winners"]
 
 
 def slices(batches, rows: int = 256):

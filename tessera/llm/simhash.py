@@ -21,6 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm import near_copies
 from tessera.llm.components import components
 from tessera.llm.scratch import Scratch, keep_winners, row_mark, slices, winners
 
@@ -109,8 +110,19 @@ def annotate(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Dat
     return members.join(named.hint("merge"), "fp").select(F.col("id").alias(id_col), hexed.alias("fingerprint"), "component_id")
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each component stays (the smallest id, nulls last), with the columns it came with."""
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similarity: float | None = None) -> DataFrame:
+    """One document of each component stays (the smallest id, nulls last), with the columns it came with.
+
+    Without ``similarity`` documents link as in ``annotate``.  With 0.8 they link at a Jaccard
+    similarity of 0.8 or more of their sets of five-word shingles, found by min-wise bands and
+    verified exactly: fingerprints of 64 bits are too short for it (see ``near_copies``).  A null
+    or blank text is like any other such; of rows that repeat id and text one stays; extra columns
+    stay, whatever their names; no rows give no rows.
+    """
+    if similarity is not None:
+        if similarity != near_copies.SIMILARITY:
+            raise ValueError(f"near copies are those at {near_copies.SIMILARITY}")
+        return near_copies.deduplicate(docs, id_col, text)
     scratch = Scratch(docs.sparkSession, "simhash")
     members, classes = group(docs, scratch, id_col, text)
     by_fp = winners(members, ["fp"], "id", "mark")

@@ -1,7 +1,8 @@
 """The pipeline against a slow version of each stage on what its predecessor kept."""
 
 import public_tokenizers as P
-from test_dedup import norm, slow_components, slow_fingerprint
+from test_dedup import norm
+from test_near_copies import slow_kept
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -20,8 +21,7 @@ def test_stages(spark):
     for i in sorted(kept):
         first.setdefault(norm(rows[i].text), i)
     kept = sorted(first.values())
-    component = slow_components([(i, slow_fingerprint(rows[i].text)) for i in kept])
-    kept = [i for i, c in zip(kept, component, strict=True) if i == c]
+    kept = sorted(map(int, slow_kept([(i, rows[i].text) for i in kept])))
     now = docs
     for _, stage in corpus_pipeline.STAGES[:3]:
         now = stage(spark, now, SF)
@@ -39,7 +39,6 @@ def test_stages(spark):
         assert t == out + text[end:]
     got = corpus_pipeline.run(spark, SF).collect()
     coder = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    coder.encode_special_tokens = True
     whole = {i: len(coder.encode(t, add_special_tokens=False).ids) + 1 for i, t in clean.items()}
     assert {r.doc_id: r.doc_tokens for r in got} == whole
     assert sum(r.length for r in got) == sum(whole.values())
