@@ -80,8 +80,15 @@ class Model:
             weights = self.backoff.setdefault((order, context), [1.0, 1.0])
             for y in (0, 1):
                 weights[y] -= own[y]
-        self._contexts = {u for order, u in self.backoff if order == 2}
-        self._alone, self._after = _Memo(self._word), _Memo(self._pair)
+        # what a context adds to any word, but for the pairs it keeps, and what those add beyond that
+        self._after = {u: math.log(toxic / ordinary) for (order, u), (ordinary, toxic) in self.backoff.items() if order == 2}
+        self._pairs = {}
+        for order, u, w in kept:
+            if order == 2:
+                ordinary, toxic = self._ratio(2, u, w, self._classes(w))
+                self._pairs[u, w] = math.log(toxic / ordinary) - self._alone(w) - self._after[u]
+        self._set = frozenset(self._pairs)
+        self._both = _Memo(lambda w: self._alone(w) + self._after.get(w, 0.0))
 
     def _ratio(self, order: int, context: str, term: str, lower: tuple[float, float]) -> tuple[float, float]:
         """P(term | context, class) over its shared probability, for both classes."""
@@ -92,23 +99,19 @@ class Model:
     def _classes(self, w: str) -> tuple[float, float]:
         return self._ratio(1, "", w, self._ratio(0, "", w[:STEM], (1.0, 1.0)))
 
-    def _word(self, w: str) -> float:
+    def _alone(self, w: str) -> float:
+        """Evidence of a word by itself."""
         ordinary, toxic = self._classes(w)
         return math.log(toxic / ordinary)
 
-    def _pair(self, pair: tuple[str, str]) -> float:
-        """What the word before adds to the evidence of a word."""
-        ordinary, toxic = self._ratio(2, *pair, self._classes(pair[1]))
-        return math.log(toxic / ordinary) - self._alone[pair[1]]
-
     def evidence(self, text: str | None) -> float:
         """Toxic less ordinary log-likelihood, a word."""
         found = words(text)
         if not found:
             return 0.0
-        total = sum(map(self._alone.__getitem__, found))
-        if self._contexts:
-            total += sum(self._after[p] for p in pairwise(["", *found]) if p[0] in self._contexts)
+        total = sum(map(self._both.__getitem__, found)) + self._after.get("", 0.0) - self._after.get(found[-1], 0.0)
+        if not self._set.isdisjoint(pairwise(["", *found])):
+            total += sum(self._pairs[p] for p in pairwise(["", *found]) if p in self._set)
         return total / len(found)
 
     def score(self, text: str | None) -> float:
