@@ -6,9 +6,12 @@ distance, so fingerprints within two bits lie within two in the grid of count ve
 fingerprint is entered in its own grid cell and in the cells one step away; whenever two vectors
 lie within two steps, some cell holds both.  Candidates of a cell are verified on the bits.
 
-A cell with very many fingerprints isn't paired up: its members are linked to the (at most 65)
-words within one bit of them.  Two fingerprints within two bits share such a word and a shared
-word proves two bits at most, so the components are the same, with links linear in the members.
+Where there are very many fingerprints a cell has many by chance.  Such a cell is cut further: two
+fingerprints within two bits agree in one of ``THIRDS``, so members meet by cell and third, and are
+verified there.  Only groups that are truly dense, of more than ``PAIR_UP`` that share a cell and a
+third, aren't paired up: their members are linked to the 64 words one bit away.  Two fingerprints
+within two bits share such a word and a shared word proves two bits at most, so the components are
+the same, with links linear in the members.
 """
 
 from __future__ import annotations
@@ -27,8 +30,9 @@ from tessera.llm.scratch import Scratch, keep_winners, row_mark, slices, winners
 
 SHINGLE = 3
 MAX_BITS = 2
-#: Cells with more fingerprints link them through words one bit away.
+#: Cells with more fingerprints are cut by their thirds; thirds with more link them through words one bit away.
 PAIR_UP = 16
+THIRDS = ((1 << 22) - 1, (1 << 43) - (1 << 22), -1 << 43)  # the last as a signed number
 _SLICE = 1 << 16
 
 
@@ -77,15 +81,30 @@ def links(fps: DataFrame, scratch: Scratch) -> DataFrame:
     more = found.where("n > 2").select("cell", "n")
     if not more.isEmpty():
         members = scratch.save(_cells(fps).join(more.hint("merge"), "cell"), "cell_members")
-        few = members.where(f"n <= {PAIR_UP}")
-        a, b = few.select("cell", F.col("fp").alias("u")), few.select("cell", F.col("fp").alias("v"))
-        out = out.unionByName(a.join(b.hint("merge"), "cell").where("u < v").where(near).select("u", "v"))
-        hot = members.where(f"n > {PAIR_UP}").select(F.col("fp").alias("u")).distinct()
-        ball = F.explode(F.expr("transform(sequence(0, 63), i -> u ^ shiftleft(1L, i))"))
-        out = out.unionByName(hot.select("u", ball.alias("v")))
+        out = out.unionByName(_paired(members.where(f"n <= {PAIR_UP}"), ["cell"]))
+        if not more.where(f"n > {PAIR_UP}").isEmpty():
+            out = out.unionByName(_thirds(members.where(f"n > {PAIR_UP}").select("cell", "fp"), scratch))
     return out
 
 
+def _paired(members: DataFrame, group: list[str]) -> DataFrame:
+    """Pairs ``(u, v)`` of a group's members that are within two bits."""
+    a, b = members.select(*group, F.col("fp").alias("u")), members.select(*group, F.col("fp").alias("v"))
+    return a.join(b.hint("merge"), group).where("u < v").where(F.expr(f"bit_count(u ^ v) <= {MAX_BITS}")).select("u", "v")
+
+
+def _thirds(members: DataFrame, scratch: Scratch) -> DataFrame:
+    """Links of cells with many ``members(cell, fp)``."""
+    third = F.explode(F.array(*(F.struct(F.lit(i).alias("third"), F.col("fp").bitwiseAND(F.lit(m)).alias("bits")) for i, m in enumerate(THIRDS))))
+    group = ["cell", "third", "bits"]
+    cut = members.select("cell", "fp", third.alias("t")).select("cell", "t.third", "t.bits", "fp")
+    sizes = cut.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    cut = scratch.save(cut.join(sizes.hint("merge"), group), "thirds")
+    dense = cut.where(f"n > {PAIR_UP}").select(F.col("fp").alias("u")).distinct()
+    ball = F.explode(F.expr("transform(sequence(0, 63), i -> u ^ shiftleft(1L, i))"))
+    return _paired(cut.where(f"n <= {PAIR_UP}"), group).distinct().unionByName(dense.select("u", ball.alias("v")))
+
+
 def group(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """Written tables ``members(id, mark, fp)`` and ``classes(fp, low, root)``: of each fingerprint the
     smallest document id (nulls last) and its component's representative fingerprint."""

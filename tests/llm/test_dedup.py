@@ -143,15 +143,17 @@ def test_simhash_keeps_one(docs):
     assert got.columns == docs.columns and got.count() == len(set(map(repr, slow_components(rows))))
 
 
-def test_simhash_links_dense_and_sparse(spark):
-    """All three ways a cell is served give the components of all pairs within two bits."""
+@pytest.mark.parametrize("pair_up", [16, 2])
+def test_simhash_links_dense_and_sparse(spark, monkeypatch, pair_up):
+    """All ways a cell is served give the components of all pairs within two bits."""
     import random
 
+    monkeypatch.setattr(simhash, "PAIR_UP", pair_up)
     rng = random.Random(5)
     fps = set()
     for _ in range(12):
         c = rng.getrandbits(64)
-        fps |= {c, *(c ^ 1 << rng.randrange(64) ^ 1 << rng.randrange(64) for _ in range(rng.choice((1, 3, 60))))}
+        fps |= {c, c ^ 3 << 31, *(c ^ 1 << rng.randrange(64) ^ 1 << rng.randrange(64) for _ in range(rng.choice((1, 3, 60))))}
     fps = sorted(fps)
     signed = [(f - (1 << 64) if f >> 63 else f,) for f in fps]
     scratch = Scratch(spark, "t")
