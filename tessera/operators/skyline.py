@@ -14,6 +14,8 @@ from tessera.sources.shared import Shared
 
 #: Price ranges that the sort form cuts the distinct prices into.
 RANGES = 256
+#: Distinct tuples up to which the definition is joined as it stands.
+NESTED = 100_000
 #: Rows of a block of the local pass, comparisons made at once, and partitions merged into one.
 BLOCK, CELLS, MERGE = 1_000, 1 << 22, 8
 
@@ -29,9 +31,16 @@ def incomparable(a: list[Column], b: list[Column]) -> Column:
 
 
 def skyline_nested(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """The definition, as a theta anti-join against the distinct tuples: quadratic, for small inputs."""
+    """The definition, as a theta anti-join against the distinct tuples: quadratic, for small inputs.
+
+    Beyond ``NESTED`` distinct tuples, which are broadcast, the local skylines are merged instead.
+    Null tuples are comparable to none and stay.
+    """
     other = rows.select(*(F.col(c).alias(f"_o_{c}") for c in columns)).distinct()
-    return rows.join(other, dominates([F.col(f"_o_{c}") for c in columns], [F.col(c) for c in columns]), "left_anti")
+    if other.limit(NESTED + 1).count() > NESTED:
+        null = reduce(operator.or_, (F.col(c).isNull() for c in columns))
+        return skyline_local_global(rows, columns).unionByName(rows.where(null))
+    return rows.join(F.broadcast(other), dominates([F.col(f"_o_{c}") for c in columns], [F.col(c) for c in columns]), "left_anti")
 
 
 def skyline_sorted(rows: DataFrame, x: str, y: str) -> DataFrame:

@@ -155,6 +155,12 @@ def test_skylines_of_exact_values(spark):
     assert rows(skyline.skyline_local_global(words, ["s", "n"])) == [("a", 3), ("b", 2), ("c", 1)]
 
 
+def test_nested_beyond_its_limit(spark, monkeypatch):
+    monkeypatch.setattr(skyline, "NESTED", 2)
+    frame = spark.createDataFrame([(1, 5), (2, 4), (2, 6), (None, 1)], "a int, b int")
+    assert sorted(map(repr, skyline.skyline_nested(frame, ["a", "b"]).collect())) == ["Row(a=1, b=5)", "Row(a=2, b=4)", "Row(a=None, b=1)"]
+
+
 def test_skyline_merges_in_rounds(spark, monkeypatch):
     monkeypatch.setattr(skyline, "MERGE", 2)
     data = [(i, 400 - i, i * 7 % 5) for i in range(400)] * 2 + [(i, 500, 9) for i in range(400)]
