@@ -86,6 +86,16 @@ def _beaten(rows: np.ndarray, by: np.ndarray) -> np.ndarray:
     return out
 
 
+def _undominated(rows: np.ndarray) -> np.ndarray:
+    """Positions of the rows that no other dominates, equal ones kept, in order."""
+    rest, kept = np.lexsort(rows.T[::-1]), []
+    while len(rest):  # the lexicographically first row of those left is dominated by none
+        left, first = rows[rest], rows[rest[0]]
+        kept.append(rest[(left == first).all(1)])
+        rest = rest[~(first <= left).all(1)]
+    return np.sort(np.concatenate([*kept, np.zeros(0, int)]))
+
+
 def skyline_local_global(rows: DataFrame, columns: list[str], block: int = BLOCK) -> DataFrame:
     """Any number of columns: each partition keeps a running skyline of its blocks, and partitions'
     skylines are merged ``MERGE`` at a time, in rounds, until one is left.
@@ -105,8 +115,8 @@ def skyline_local_global(rows: DataFrame, columns: list[str], block: int = BLOCK
                 both = part if held is None else pa.concat_tables([held, part])
                 values = _ranks([both.column(p).to_numpy() for p in places])
                 old, new = values[:n], np.arange(n, len(values))
-                new = new[~_beaten(values[new], values[new])]
                 new = new[~_beaten(values[new], old)]
+                new = new[_undominated(values[new])]
                 stay = np.flatnonzero(~_beaten(old, values[new]))
                 held = both.take(pa.array(np.concatenate([stay, new])))
         if held is not None:
