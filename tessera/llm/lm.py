@@ -10,10 +10,9 @@ also see ``BLOCK`` positions before them, so windows overlap and each id is scor
 windows to a batch under one causal mask.  A word's probability mixes the product over its ids with
 its discounted share of all training words.
 
-Word, subword and within-word counts cover every training word.  The layer, the class pairs and the
-neighbours that form the classes learn from windows that begin every ``STEP`` words of every
-training text, from its start to its end; a hash picks one in ``NTH``, so what they learn from grows
-with the corpus and no part of a text is preferred (the README has figures for other shares).
+All counts cover every training text from its start to its end, and so does the layer: the ids of a
+text are cut into windows that overlap by the ``BLOCK`` ids they see before their first target, so
+the layer, the class pairs and the neighbours that form the classes learn from each id exactly once.
 
 Windows are dealt to groups by hash and sorted in them, so scores don't depend on how the input is
 partitioned.  Groups train side by side and their parameters are averaged after every round, in two
@@ -24,6 +23,7 @@ of the words it holds and is scored beside them.
 
 from __future__ import annotations
 
+import gc
 import math
 import operator
 import zlib
@@ -47,11 +47,15 @@ EXTRA = 4_000
 INPUTS = CLASSES + 1 + EXTRA
 BLOCK = 16
 WIDTH, VALUE = 8, 16
-#: A training window starts every STEP words and holds so many subwords; one in NTH is picked.
-WINDOW, STEP, NTH = 64, 24, 12
-ROUNDS, BATCH, RATE = 4, 64, 0.02
+#: Ids of a training window, the BLOCK before its targets included; one window in NTH is trained on: all.
+WINDOW, NTH = 512 + BLOCK, 1
+ROUNDS, BATCH, RATE = 4, 8, 0.02
 #: Windows of a group that trains on its own, about.
 GROUP = 8_192
+#: Windows scored at once; always so many, so that a window's rounding doesn't depend on the others.
+SCORED = 128
+#: Words whose ids a task remembers.
+KNOWN = 200_000
 #: Characters of a part of the corpus, about.
 PART = 24_000_000
 #: Parts up to which they get names that spread them evenly.
@@ -79,10 +83,35 @@ def _library(path: str):
 # -- the attention layer ------------------------------------------------------------------------
 
 
+@lru_cache(maxsize=2)
+def _bytes(path: str) -> np.ndarray:
+    """How many bytes each id stands for."""
+    out = np.zeros(max(ranks(path).values()) + 1, np.int64)
+    for token, i in ranks(path).items():
+        out[i] = len(token)
+    return out
+
+
+def encoded(path: str, found: list[bytes]) -> list[bytes]:
+    """The subword ids (two bytes each) of each word after a space.
+
+    No match of the pattern goes on after a word that holds no white space, so such words are
+    encoded in one call and told apart by the bytes their ids stand for.
+    """
+    library, text = _library(path), b"".join(b" " + w for w in found).decode()
+    if len(text.split()) != len(found):
+        return [np.array(library.encode_ordinary(" " + w.decode()), "<u2").tobytes() for w in found]
+    ids = library.encode_to_numpy(text)
+    ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1)
+    cuts = [0, *(2 * np.searchsorted(np.cumsum(_bytes(path)[ids]), ends) + 2).tolist()]
+    coded = ids.astype("<u2").tobytes()
+    return [coded[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
 def _summed(index: np.ndarray, values: np.ndarray) -> np.ndarray:
     """Sums of the rows of ``values`` by input."""
     at, rows = index.ravel(), values.reshape(-1, values.shape[-1])
-    return np.stack([np.bincount(at, column, INPUTS) for column in rows.T], 1)
+    return np.stack([np.bincount(at, column, INPUTS) for column in rows.T], 1).astype(values.dtype)
 
 
 class Attention:
@@ -114,7 +143,8 @@ class Attention:
     def _forward(self, keys: np.ndarray):
         """Queries, keys, values, weights and their sums, mixed values, and logits."""
         p = self.p
-        q, k, v = p["q"][keys[:, BLOCK:]], p["k"][keys], p["v"][keys]
+        x = np.concatenate([p["q"], p["k"], p["v"]], 1).take(keys, 0)
+        q, k, v = x[:, BLOCK:, :WIDTH], x[:, :, WIDTH : 2 * WIDTH], x[:, :, 2 * WIDTH :]
         s = q @ k.transpose(0, 2, 1)
         s += self.mask + p["r"][self.back]
         early = np.flatnonzero(keys[:, 0] == PAD)  # before a window's first key that isn't PAD all are
@@ -127,7 +157,7 @@ class Attention:
         h = s @ v
         h /= total
         logits = h.reshape(-1, VALUE) @ p["w"]
-        logits += self.pair[self.class_of[keys[:, BLOCK:].ravel()]]
+        logits += self.pair.take(self.class_of.take(keys[:, BLOCK:].ravel()), 0)
         return q, k, v, s, total, h, logits
 
     def log_probs(self, keys: np.ndarray, targets: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -135,31 +165,34 @@ class Attention:
         at each target's place; keys (windows x 2 BLOCK), targets (windows x BLOCK)."""
         out, starts = np.empty(targets.size, np.float32), np.empty(targets.size, np.float32)
         sums = np.stack([np.ones_like(begin), begin], 1)
-        for a in range(0, len(keys), 512):
-            part = targets[a : a + 512].ravel()
-            logits = self._forward(keys[a : a + 512])[-1]
+        for a in range(0, len(keys), SCORED):
+            part, some = targets[a : a + SCORED].ravel(), keys[a : a + SCORED]
+            if len(some) < SCORED:
+                some = np.concatenate([some, np.full((SCORED - len(some), 2 * BLOCK), PAD)])
+            logits = self._forward(some)[-1]
             picked = logits[np.arange(len(part)), part]
             np.exp(logits, out=logits)
-            whole, some = np.log(logits @ sums).T
+            whole, first = np.log(logits @ sums)[: len(part)].T
             out[a * BLOCK : a * BLOCK + len(part)] = picked - whole
-            starts[a * BLOCK : a * BLOCK + len(part)] = some - whole
+            starts[a * BLOCK : a * BLOCK + len(part)] = first - whole
         return out, starts
 
     def gradient(self, keys: np.ndarray, targets: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
         """Of the mean negative log-probability, ``weight`` (0 or 1) choosing the targets."""
         p = self.p
         q, k, v, s, total, h, logits = self._forward(keys)
-        s = s / total
-        d = np.exp(logits - logits.max(axis=1, keepdims=True))
-        d /= d.sum(axis=1, keepdims=True)
-        d[np.arange(len(d)), targets.ravel()] -= 1
-        d *= (weight.ravel() / max(1.0, weight.sum()))[:, None].astype(np.float32)
+        s /= total
+        d = np.exp(logits, out=logits)
+        share = (weight.ravel() / max(1.0, weight.sum())).astype(d.dtype)
+        d *= (share / (d @ np.ones(CLASSES, d.dtype)))[:, None]
+        d[np.arange(len(d)), targets.ravel()] -= share
         g = {}
         g["w"] = h.reshape(-1, VALUE).T @ d
         dh = (d @ p["w"].T).reshape(h.shape)
         ds = dh @ v.transpose(0, 2, 1)
         g["v"] = _summed(keys, s.transpose(0, 2, 1) @ dh)
-        ds = s * (ds - (ds * s).sum(axis=2, keepdims=True))
+        ds -= (dh * h).sum(axis=2, keepdims=True)
+        ds *= s
         g["r"] = np.bincount(self.back.ravel(), ds.sum(axis=0).ravel(), 2 * BLOCK)
         g["q"] = _summed(keys[:, BLOCK:], ds @ k)
         g["k"] = _summed(keys, ds.transpose(0, 2, 1) @ q)
@@ -192,34 +225,41 @@ def blocks(inputs: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def picked(doc_id, k: int) -> bool:
-    """Whether the ``k``-th window of a document is trained on."""
+    """Whether the ``k``-th window of a document is trained on: every one is."""
     return zlib.crc32(f"{doc_id}/{k}".encode()) % NTH == 0
 
 
+def cut(ids: bytes) -> list[bytes]:
+    """A text's windows, two bytes an id.  A window that is full has one after it, which begins with
+    its last ``BLOCK`` ids and may hold no more than these and the text's end."""
+    full, step = 2 * WINDOW, 2 * (WINDOW - BLOCK)
+    return [ids[a : a + full] for a in range(0, max(0, len(ids) - full + step) // step * step + 1, step)]
+
+
 def _parts(docs: DataFrame, path: str, id_col: str, text: str) -> DataFrame:
-    """``(id, text, part, windows, starts)``: documents with the part they belong to, parts being bounded
-    runs of a partition, and the training windows' subword ids (two bytes each) and numbers."""
+    """``(id, text, part, windows)``: documents with the part they belong to, parts being bounded runs
+    of a partition, and the training windows' subword ids (two bytes each)."""
 
     def run(batches):
-        library, pid, piece, size = _library(path), TaskContext.get().partitionId(), 0, 0
+        pid, piece, size, known = TaskContext.get().partitionId(), 0, 0, {}
         for b in slices(batches):
             ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            parts, windows, starts = [], [], []
-            for i, t in zip(ids, texts, strict=True):
+            parts, windows = [], []
+            found = [None if held_out(i) else words(t) for i, t in zip(ids, texts, strict=True)]
+            if len(known) > KNOWN:
+                known.clear()
+            new = list(set().union(*filter(None, found)).difference(known))
+            known.update(zip(new, encoded(path, new), strict=True))
+            for t, w in zip(texts, found, strict=True):
                 if size > PART:
                     piece, size = piece + 1, 0
                 size += len(t or "")
                 parts.append(pid << 24 | piece)
-                w = [] if held_out(i) else words(t)
-                mine = [] if held_out(i) else [k for k in range(max(1, -(-len(w) // STEP))) if picked(i, k)]
-                some = (w[k * STEP : k * STEP + WINDOW] for k in mine)
-                windows.append([library.encode_to_numpy(b"".join(b" " + x for x in x).decode())[:WINDOW].astype("<u2").tobytes() for x in some])
-                starts.append(mine)
-            columns = [pa.array(parts, pa.int64()), pa.array(windows, pa.list_(pa.binary())), pa.array(starts, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns], ["id", "text", "part", "windows", "starts"])
+                windows.append([] if w is None else cut(b"".join(map(known.__getitem__, w))))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(parts, pa.int64()), pa.array(windows, pa.list_(pa.binary()))], ["id", "text", "part", "windows"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "id long, text string, part long, windows array<binary>, starts array<int>")
+    return rows.mapInArrow(run, "id long, text string, part long, windows array<binary>")
 
 
 def _counted(parts: DataFrame) -> DataFrame:
@@ -261,12 +301,14 @@ def _vocabulary(counted: DataFrame, path: str) -> DataFrame:
     """
 
     def run(batches):
-        library, names = _library(path), ["part", "word", "c", "ids", "first"]
+        names = ["part", "word", "c", "ids", "first"]
 
         def finish(t: pa.Table, found: list[bytes], starts: np.ndarray):
             sizes = np.diff(np.append(starts, len(found)))
             total = np.add.reduceat(t.column(2).to_numpy(), starts)
-            ids = [np.array(library.encode_ordinary(" " + found[i].decode()), "<u2").tobytes() if found[i] else b"" for i in starts]
+            named = [found[i] for i in starts if found[i]]
+            coded = dict(zip(named, encoded(path, named), strict=True))
+            ids = [coded.get(found[i], b"") for i in starts]
             which = pa.array(np.repeat(np.arange(len(starts)), sizes))
             first = np.zeros(len(found), bool)
             first[starts] = True
@@ -345,16 +387,18 @@ def _endings(trained: DataFrame, cls: np.ndarray, size: int) -> np.ndarray:
 
 
 def _near(windows: DataFrame, own: np.ndarray, size: int) -> np.ndarray:
-    """How often each tail id has each own class among the ``BLOCK`` ids before it."""
+    """How often each tail id has each own class among the ``BLOCK`` - 1 ids before it, in ``windows(w, first)``."""
 
     def run(batches):
         total = np.zeros(size * OWN, np.int64)
         for b in batches:
             ids, sizes = _laid_out(b, 0)
-            window, cls = np.repeat(np.arange(len(sizes)), sizes), own[ids]
+            window, cls = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), own[ids]
+            within = np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            tail = (cls < 0) & ((within >= BLOCK) | np.repeat(b.column(1).to_numpy(zero_copy_only=False), sizes))
             cells = []
             for back in range(1, BLOCK):
-                ok = (window[back:] == window[:-back]) & (cls[back:] < 0) & (cls[:-back] >= 0)
+                ok = (window[back:] == window[:-back]) & tail[back:] & (cls[:-back] >= 0)
                 cells.append(ids[back:][ok] * OWN + cls[:-back][ok])
             total += np.bincount(np.concatenate(cells), minlength=len(total))
         at = np.flatnonzero(total)
@@ -431,6 +475,12 @@ def _window_blocks(raw: list[bytes], first: list[bool], inputs: np.ndarray, clas
     return keys, targets, weights
 
 
+def _free(frame: DataFrame) -> None:
+    """Have Spark delete the shuffle files of frames that nothing refers to any more."""
+    gc.collect()
+    frame.sparkSession._jvm.System.gc()
+
+
 def _train(windows: DataFrame, inputs: np.ndarray, class_of: np.ndarray, groups: int) -> Attention:
     """The layer on top of class pair counts, trained in rounds of averaged parameters by ``windows(g, h, w, first)``."""
 
@@ -476,6 +526,8 @@ def _train(windows: DataFrame, inputs: np.ndarray, class_of: np.ndarray, groups:
         mine = windows.where(F.pmod(F.shiftright("h", 20), F.lit(ROUNDS)) == turn)  # each window in one round
         learnt = mine.groupBy("g").applyInArrow(learner(flat, turn), "s long, g long, n double, p binary")
         sums = sorted(learnt.groupBy("s").applyInArrow(add, "s long, n double, p binary").collect())
+        del mine, learnt
+        _free(windows)
         n = sum(r.n for r in sums)
         if n:
             flat = (sum(np.frombuffer(r.p, "<f8") for r in sums) / n).astype(np.float32)
@@ -594,18 +646,18 @@ def annotate(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", t
     path, scratch = path or vocabulary_file("byte_bpe_multi_50k.tiktoken"), Scratch(docs.sparkSession, "lm")
     parts = scratch.save(_parts(docs, path, id_col, text), "parts")
     vocab = scratch.save(_vocabulary(_counted(parts), path), "vocab")
+    _free(vocab)
     one = scratch.save(vocab.where("first AND c > 0").select("word", "c", "ids"), "trained")
     tokens, distinct = one.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     trained = one.where("length(word) > 0").select("c", "ids")
-    windows = parts.select("id", F.explode(F.arrays_zip("windows", "starts")).alias("x")).select("id", F.col("x.windows").alias("w"), F.col("x.starts").alias("k"))
-    groups = max(1, windows.count() // GROUP)
+    groups = max(1, (parts.agg(F.sum(F.size("windows"))).first()[0] or 0) // GROUP)
     mark = F.xxhash64("id", "k", "w")
-    windows = scratch.save(windows.select(F.pmod(mark, F.lit(groups)).alias("g"), mark.alias("h"), "w", (F.col("k") == 0).alias("first")), "windows")
+    windows = parts.select("id", F.posexplode("windows").alias("k", "w")).select(F.pmod(mark, F.lit(groups)).alias("g"), mark.alias("h"), "w", (F.col("k") == 0).alias("first"))
     size = max(ranks(path).values()) + 1
     begins = np.zeros(size, bool)
     begins[[i for t, i in ranks(path).items() if t[:1] == b" "]] = True
     counts = _token_counts(trained, size)
-    cls, within = _classes(counts, lambda own: _near(windows.select("w"), own, size), begins)
+    cls, within = _classes(counts, lambda own: _near(windows.select("w", "first"), own, size), begins)
     inputs, class_of = _inputs(counts, cls)
     at = cls[list(counts)].astype(int) if counts else np.zeros(0, int)
     heads = np.stack([np.bincount(at, [x[i] for x in counts.values()], CLASSES) for i in (1, 2)], 1)

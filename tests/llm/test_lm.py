@@ -144,6 +144,32 @@ def test_windows_cover_whole_texts():
     assert abs(np.mean(places) - 49.5) < 3
 
 
+def test_every_training_id_is_learnt_from_once(docs, real):
+    """The windows of all training texts together have each id, and each text's end, as a target once."""
+    path = lm.vocabulary_file("byte_bpe_multi_50k.tiktoken")
+    library, size = lm._library(path), max(lm.ranks(path).values()) + 1
+    for frame in (docs, real):
+        want, ends = np.zeros(size, int), 0
+        for r in frame.collect():
+            if not lm.held_out(r.doc_id):
+                ends += 1
+                want += np.bincount([i for w in lm.words(r.text) for i in library.encode_ordinary(" " + w.decode())], minlength=size).astype(int)
+        got = [(w, k == 0) for r in lm._parts(frame, path, "doc_id", "text").collect() for k, w in enumerate(r.windows)]
+        inputs = np.arange(size) + lm.INPUTS  # stand for themselves
+        _, targets, weights = lm._window_blocks([w for w, _ in got], [f for _, f in got], inputs, np.arange(size + lm.INPUTS))
+        learnt = targets[weights > 0]
+        assert (learnt == lm.END).sum() == ends
+        assert (np.bincount(learnt[learnt != lm.END] - lm.INPUTS, minlength=size) == want).all()
+
+
+def test_words_encoded_together():
+    path = lm.vocabulary_file("byte_bpe_multi_50k.tiktoken")
+    plain = ["one", "can't", "'s", "12ab", "...", "\u6771\u4eac", "na\u00efve\U0001f389", "x" * 300, "1"]
+    for found in (plain, [*plain, "a\u00a0", "\u00a0b", "c\u2003d", "e\x1cf"], []):
+        found = [w.encode() for w in found]
+        assert lm.encoded(path, found) == [np.array(lm._library(path).encode_ordinary(" " + w.decode()), "<u2").tobytes() for w in found]
+
+
 def test_words_are_a_distribution(real):
     """The chances of all words of a class, spelled or known, with the rest's, stay within one."""
     path = lm.vocabulary_file("byte_bpe_multi_50k.tiktoken")
