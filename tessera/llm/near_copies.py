@@ -195,7 +195,9 @@ def _by_prefix(rest: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
     Sets in one order of shingles, rarest first, that are similar at 0.8 share one of their first
     n - ceil(0.8 n) + 1, and from the first shingle that they share on each has enough left to reach
     0.8.  What many sets of the rest have in common comes last, so a group of sets that are alike
-    but not similar meets late, where too little is left.
+    but not similar meets late, where too little is left.  Of sets that meet, all shingles that no
+    other set has are differences, and so is every bit in which the parities of the others' counts
+    in 256 classes differ; similar sets have a ninth of their sizes in differences at most.
     """
     kept = scratch.save(rest.join(sets.hint("merge"), "fp"), "rest")
 
@@ -207,12 +209,15 @@ def _by_prefix(rest: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
 
     each = kept.select("fp", "root", "shingles").mapInArrow(run, "fp long, root long, s long")
     often = each.groupBy("s").agg(F.count(F.lit(1)).alias("n"))
-    ranked = each.join(often.hint("merge"), "s").groupBy("fp", "root").agg(F.array_sort(F.collect_list(F.struct("n", "s"))).alias("all"))
+    parity = [F.expr(f"bit_xor(if(n > 1 AND (shiftright(s, 6) & 3) = {i}, shiftleft(1L, int(s & 63)), 0L))").alias(f"x{i}") for i in range(4)]
+    ranked = each.join(often.hint("merge"), "s").groupBy("fp", "root").agg(F.array_sort(F.collect_list(F.struct("n", "s"))).alias("all"), F.expr("count_if(n = 1)").alias("own"), *parity)
     size = F.size("all")
     first = F.posexplode(F.slice("all", F.lit(1), size - F.ceil(size * 4 / 5).cast("int") + 1)).alias("at", "x")
-    posted = ranked.select("fp", "root", size.alias("size"), first).where("x.n > 1").select("fp", "root", "size", (F.col("size") - F.col("at")).alias("left"), F.col("x.s").alias("h"))
+    bits = [f"x{i}" for i in range(4)]
+    posted = ranked.select("fp", "root", size.alias("size"), "own", *bits, first).where("x.n > 1").select("fp", "root", "size", "own", *bits, (F.col("size") - F.col("at")).alias("left"), F.col("x.s").alias("h"))
     posted = scratch.save(_apart(scratch.save(posted, "posted")), "posted-apart")
-    return _held(posted, posted, "a.fp < b.fp AND 9 * least(a.left, b.left) >= 4 * (a.size + b.size)", False)
+    differ = " + ".join(["a.own", "b.own", *(f"bit_count(a.{x} ^ b.{x})" for x in bits)])
+    return _held(posted, posted, f"a.fp < b.fp AND 9 * least(a.left, b.left) >= 4 * (a.size + b.size) AND 9 * ({differ}) <= a.size + b.size", False)
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:

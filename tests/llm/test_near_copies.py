@@ -7,6 +7,7 @@ import pytest
 
 import corpus_pipeline
 from tessera.llm import near_copies
+from tessera.llm.scratch import Scratch
 
 
 def slow_set(text):
@@ -73,3 +74,17 @@ def test_sketches_of_pairs_at_the_threshold():
             same = 128 - sum(((int(p) ^ int(q)) & (1 << 64) - 1).bit_count() for p, q in zip(bits, more, strict=True))
             out.append((bands == others).any() and same >= near_copies.SAME)
     assert all(shared) and np.mean(unlike) < 0.01
+
+
+def test_candidates_grow_with_similar_pairs(spark):
+    """Of a group of sets that are alike, hardly a pair below 0.8 is joined, and every pair at 0.8 is."""
+    rng, base, sets = random.Random(1), [f"w{i}" for i in range(146)], []
+    for _ in range(400):
+        copy = list(base)
+        for _ in range(rng.choice((1, 2, 3, 4, 5, 6))):
+            copy[rng.randrange(146)] = f"x{rng.random()}"
+        sets.append(near_copies.shingles(" ".join(copy)))
+    frame = spark.createDataFrame([(k, s.tobytes(), k) for k, s in enumerate(sets)], "fp long, shingles binary, root long")
+    found = near_copies._by_prefix(frame.select("fp", "root"), frame.select("fp", "shingles"), Scratch(spark, "test")).collect()
+    similar = {(i, j) for j in range(400) for i in range(j) if near_copies.similar(sets[i], sets[j])}
+    assert similar <= {(r.u, r.v) for r in found} and len(found) < 1.2 * len(similar)
