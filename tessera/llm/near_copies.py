@@ -1,7 +1,8 @@
 """Near copies: documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-Fingerprints of 64 bits can't find them: at 0.8 two texts differ in about ten bits, and a grid of
-segment counts within ten steps holds nearly everything.  So candidates come from min-wise hashes:
+Candidates come from SimHash fingerprints of the sets first, those within two bits by the grid of
+segment counts (``simhash.links``).  Fingerprints of 64 bits can't find all: at 0.8 two texts differ
+in about ten bits, and a grid within ten steps holds nearly everything.  So min-wise hashes add more:
 ``BANDS`` bands of ``ROWS`` minima each; sets that share a band are candidates (a pair at 0.8 shares
 none with a chance of 5 in 100 million, a closer one less).  Sizes and one bit of each minimum
 (``SAME`` of 128 must agree, seven standard deviations below what 0.8 leads one to expect) rule out
@@ -75,7 +76,8 @@ def sketch(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sketches(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """``(id, mark, fp, size, low, high, bands)``: a digest of the document's set, its size and sketch."""
+    """``(id, mark, fp, sim, size, low, high, bands)``: a digest of the document's set, its SimHash, size and sketch."""
+    from tessera.llm.simhash import majority
 
     def run(batches):
         for b in slices(batches):
@@ -83,11 +85,12 @@ def _sketches(docs: DataFrame, id_col: str, text: str) -> DataFrame:
             fps = np.array([xxhash.xxh64_intdigest(s.tobytes(), 42) for s in sets], np.uint64).view(np.int64)
             found = [sketch(s) if len(s) else (np.zeros(0, np.int64), np.zeros(2, np.int64)) for s in sets]
             bits = np.array([x for _, x in found], np.int64).reshape(-1, 2)
-            columns = [pa.array(fps), pa.array([len(s) for s in sets], pa.int64()), pa.array(bits[:, 0]), pa.array(bits[:, 1]), pa.array([x for x, _ in found], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns], ["id", "mark", "fp", "size", "low", "high", "bands"])
+            sims = np.array([majority(s) for s in sets], np.uint64).view(np.int64)
+            columns = [pa.array(fps), pa.array(sims), pa.array([len(s) for s in sets], pa.int64()), pa.array(bits[:, 0]), pa.array(bits[:, 1]), pa.array([x for x, _ in found], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns], ["id", "mark", "fp", "sim", "size", "low", "high", "bands"])
 
     chosen = docs.select(F.col(id_col).cast("long").alias("id"), row_mark(text).alias("mark"), F.col(text).alias("text"))
-    return chosen.mapInArrow(run, "id long, mark long, fp long, size long, low long, high long, bands array<long>")
+    return chosen.mapInArrow(run, "id long, mark long, fp long, sim long, size long, low long, high long, bands array<long>")
 
 
 def _sets(docs: DataFrame, by_fp: DataFrame, id_col: str, text: str) -> DataFrame:
@@ -144,8 +147,26 @@ def _held(a: DataFrame, b: DataFrame, beside: str = "true", sketched: bool = Tru
     return met.select(ordered[0].alias("u"), ordered[2].alias("v"), ordered[1].alias("u_root"), ordered[3].alias("v_root")).distinct()
 
 
+def _by_grid(unique: DataFrame, scratch: Scratch) -> DataFrame:
+    """``(u, v)``: sets with one SimHash, and sets whose SimHashes the grid links within two bits.
+
+    Of sets with one SimHash the smallest stands for all, and of SimHashes around one word the
+    smallest is linked to the others, so there are no more pairs than members and links.
+    """
+    from tessera.llm.simhash import links
+
+    of = scratch.save(unique.groupBy("sim").agg(F.min("fp").alias("low_fp")), "sims")
+    same = unique.join(of.hint("merge"), "sim").where("fp <> low_fp").select(F.col("fp").alias("u"), F.col("low_fp").alias("v"))
+    found = scratch.save(links(of.select(F.col("sim").alias("fp")), scratch), "grid")
+    around = found.join(found.groupBy("v").agg(F.min("u").alias("m")).hint("merge"), "v").where("u <> m").select("u", F.col("m").alias("v"))
+    a, b = (of.select(F.col("sim").alias(x), F.col("low_fp").alias(f"{x}_fp")).hint("merge") for x in "uv")
+    near = found.unionByName(around).distinct().join(a, "u").join(b, "v").select(F.col("u_fp").alias("u"), F.col("v_fp").alias("v"))
+    both = same.unionByName(near).where("u <> v")
+    return both.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+
+
 def classes(unique: DataFrame, sets_of, scratch: Scratch) -> DataFrame:
-    """``(node, root)`` of the sets that are in a component of several; ``unique(fp, size, low, high,
+    """``(node, root)`` of the sets that are in a component of several; ``unique(fp, sim, size, low, high,
     bands)`` has each set once and ``sets_of`` gives the sets of some digests."""
     entries = unique.select("fp", F.posexplode("bands").alias("band", "h"))
     found = scratch.save(entries.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("u"), F.max("fp").alias("v")).where("n > 1"), "bands")
@@ -153,7 +174,7 @@ def classes(unique: DataFrame, sets_of, scratch: Scratch) -> DataFrame:
     full = unique.select("fp", "size", "low", "high", F.posexplode("bands").alias("band", "h"))
     members = scratch.save(full.join(found.where("n > 2").select("h", "n").hint("merge"), "h"), "members_of_bands")
     few, hot = members.where(f"n <= {PAIR_UP}").drop("n", "band"), members.where(f"n > {PAIR_UP}").drop("n")
-    two = found.where("n = 2").select("u", "v").distinct()
+    two = found.where("n = 2").select("u", "v").unionByName(_by_grid(unique, scratch)).distinct()
     two = two.join(info.alias("a").hint("merge"), F.col("a.fp") == F.col("u")).join(info.alias("b").hint("merge"), F.col("b.fp") == F.col("v")).where(_possible("a", "b")).select("u", "v")
     more = few.alias("a").join(few.alias("b").hint("merge"), (F.col("a.h") == F.col("b.h")) & (F.col("a.fp") < F.col("b.fp")) & _possible("a", "b"))
     pairs = scratch.save(two.unionByName(more.select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v"))).distinct(), "pairs")
@@ -230,7 +251,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     scratch = Scratch(docs.sparkSession, "near_copies")
     members = scratch.save(_sketches(docs, id_col, text), "members")
     by_fp = scratch.save(winners(members, ["fp"], "id", "mark"), "by_fp")
-    unique = members.select("fp", "size", "low", "high", "bands")
+    unique = members.select("fp", "sim", "size", "low", "high", "bands")
     if by_fp.where("size > 1").count():
         unique = scratch.save(unique.dropDuplicates(["fp"]), "unique")
 

@@ -44,7 +44,11 @@ def fingerprint(text: str | None, size: int = SHINGLE) -> int:
     if len(words) <= size:
         return xxhash.xxh64_intdigest(b" ".join(words), 42)
     shingles = map(b" ".join, zip(*(words[i:] for i in range(size)), strict=False))
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(42)), np.uint64, len(words) - size + 1)
+    return majority(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(42)), np.uint64, len(words) - size + 1))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half the hashes; of none: 0."""
     ones = np.zeros(64, np.int64)
     for a in range(0, len(hashes), _SLICE):
         bits = np.unpackbits(hashes[a : a + _SLICE].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -133,8 +137,9 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sim
     """One document of each component stays (the smallest id, nulls last), with the columns it came with.
 
     Without ``similarity`` documents link as in ``annotate``.  With 0.8 they link at a Jaccard
-    similarity of 0.8 or more of their sets of five-word shingles, found by min-wise bands and
-    verified exactly: fingerprints of 64 bits are too short for it (see ``near_copies``).  A null
+    similarity of 0.8 or more of their sets of five-word shingles.  Candidates are those that this
+    module's grid links and, since 64 bits are too short to find all, those of min-wise bands; all
+    are verified exactly (see ``near_copies``).  A null
     or blank text is like any other such; of rows that repeat id and text one stays; extra columns
     stay, whatever their names; no rows give no rows.
     """

@@ -4,9 +4,10 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessera.llm import near_copies
+from tessera.llm import near_copies, simhash
 from tessera.llm.scratch import Scratch
 
 
@@ -88,3 +89,14 @@ def test_candidates_grow_with_similar_pairs(spark):
     found = near_copies._by_prefix(frame.select("fp", "root"), frame.select("fp", "shingles"), Scratch(spark, "test")).collect()
     similar = {(i, j) for j in range(400) for i in range(j) if near_copies.similar(sets[i], sets[j])}
     assert similar <= {(r.u, r.v) for r in found} and len(found) < 1.2 * len(similar)
+
+
+def test_the_grid_finds_candidates(spark, monkeypatch):
+    """The named method is at work: without any band it alone joins copies within two bits."""
+    base = [f"w{i}" for i in range(3_000)]
+    texts = [" ".join(base), " ".join([*base, "more"]), " ".join(["more", *base]), " ".join(f"z{i}" for i in range(3_000))]
+    sims = [simhash.majority(near_copies.shingles(t)) for t in texts]
+    assert all((sims[0] ^ s).bit_count() <= 2 for s in sims[:3])
+    monkeypatch.setattr(near_copies, "_sketches", lambda *a, made=near_copies._sketches: made(*a).withColumn("bands", F.expr("cast(array() AS array<bigint>)")))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in near_copies.deduplicate(frame).collect()) == [0, 3]
