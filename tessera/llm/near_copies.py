@@ -185,19 +185,26 @@ def classes(unique: DataFrame, sets_of, scratch: Scratch) -> DataFrame:
         return roots
     alone = hot.select(F.col("fp").alias("node")).distinct().join(roots.hint("merge"), "node", "left_anti").select("node", F.col("node").alias("root"))
     labels = roots.unionByName(alone)
-    rooted = scratch.save(_relabelled(hot.withColumn("root", F.col("fp")), roots), "rooted")
+    sets_in = hot.groupBy("fp", "size", "low", "high").agg(F.collect_list(F.struct("band", "h")).alias("bands"))
+    rooted = scratch.save(_relabelled(sets_in.withColumn("root", F.col("fp")), roots), "rooted")  # one row a set, whatever its bands
     for k, (low, high) in enumerate(ROUNDS):
-        apart = scratch.save(_apart(rooted.where(f"band >= {low} AND band < {high}")), f"apart-{k}")
+        apart = scratch.save(_apart(_banded(rooted, low, high)), f"apart-{k}")
         pick = F.min(F.struct(F.xxhash64("fp").alias("x"), "fp", "size", "low", "high", "root")).alias("p")
         held = _held(apart, apart.groupBy("h").agg(pick).select("h", "p.fp", "p.size", "p.low", "p.high", "p.root"))
         merged = _merged(held, sets, scratch, str(k))
         if merged is not None:
             labels, rooted = _relabelled(labels, merged), scratch.save(_relabelled(rooted, merged), f"rooted-{k}")
-    rest = _apart(rooted).select("fp", "root").distinct()
+    rest = _apart(_banded(rooted, 0, BANDS)).select("fp", "root").distinct()
     merged = _merged(_by_prefix(rest, sets, scratch), sets, scratch, "last")
     return scratch.save(labels if merged is None else _relabelled(labels, merged), "labels")
 
 
+def _banded(rooted: DataFrame, low: int, high: int) -> DataFrame:
+    """``rooted(fp, size, low, high, root, bands)`` with a row ``h`` for each of some of its bands."""
+    some = F.explode(F.expr(f"filter(bands, x -> x.band >= {low} AND x.band < {high})")).alias("x")
+    return rooted.select("fp", "size", "low", "high", "root", some).select("fp", "size", "low", "high", "root", F.col("x.h").alias("h"))
+
+
 def _apart(rooted: DataFrame) -> DataFrame:
     """The rows of bands whose sets are in more than one component."""
     split = rooted.groupBy("h").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("h")

@@ -100,3 +100,22 @@ def test_the_grid_finds_candidates(spark, monkeypatch):
     monkeypatch.setattr(near_copies, "_sketches", lambda *a, made=near_copies._sketches: made(*a).withColumn("bands", F.expr("cast(array() AS array<bigint>)")))
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert sorted(r.doc_id for r in near_copies.deduplicate(frame).collect()) == [0, 3]
+
+
+def test_new_components_are_joined_once_a_set(spark, monkeypatch):
+    """Sets of a large group are in all 32 bands; they get their new roots as one row each."""
+    base, rows, seen = [f"w{i}" for i in range(200)], [], []
+    for i in range(60):
+        copy = list(base)
+        copy[3 * i] = f"x{i}"
+        rows.append((i, " ".join(copy)))
+
+    def watched(rooted, merged, made=near_copies._relabelled):
+        key = next(c for c in ("fp", "node") if c in rooted.columns)
+        seen.append((rooted.count(), rooted.select(key).distinct().count()))
+        return made(rooted, merged)
+
+    monkeypatch.setattr(near_copies, "_relabelled", watched)
+    kept = near_copies.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert [repr(r.doc_id) for r in kept.collect()] == slow_kept(rows)
+    assert seen and all(n == distinct and n <= len(rows) for n, distinct in seen)
