@@ -54,6 +54,8 @@ ROUNDS, BATCH, RATE = 4, 8, 0.02
 GROUP = 8_192
 #: Windows scored at once; always so many, so that a window's rounding doesn't depend on the others.
 SCORED = 128
+#: Windows learnt from at once, of a batch; their gradients are summed.
+LEARNT = 64
 #: Words whose ids a task remembers.
 KNOWN = 200_000
 #: Characters of a part of the corpus, about.
@@ -108,10 +110,14 @@ def encoded(path: str, found: list[bytes]) -> list[bytes]:
     return [coded[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def _summed(index: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Sums of the rows of ``values`` by input."""
-    at, rows = index.ravel(), values.reshape(-1, values.shape[-1])
-    return np.stack([np.bincount(at, column, INPUTS) for column in rows.T], 1).astype(values.dtype)
+def _summed(index: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Sums of ``rows`` by input: those of an input are brought together and added as one run."""
+    order = np.argsort(index.astype(np.uint16), kind="stable")
+    found = index[order]
+    starts = np.flatnonzero(np.append(True, found[1:] != found[:-1]))
+    out = np.zeros((INPUTS, rows.shape[1]), rows.dtype)
+    out[found[starts]] = np.add.reduceat(rows.take(order, 0), starts, axis=0)
+    return out
 
 
 class Attention:
@@ -134,16 +140,24 @@ class Attention:
         return np.concatenate([self.p[n].ravel() for n in self.SHAPES])
 
     def load(self, flat: np.ndarray) -> None:
+        self.view(flat.astype(np.float32))
+
+    def view(self, flat: np.ndarray) -> None:
+        """Make the parameters parts of ``flat``, so that what is written there changes them."""
         at = 0
         for n, s in self.SHAPES.items():
             size = math.prod(s)
-            self.p[n] = flat[at : at + size].reshape(s).astype(np.float32)
+            self.p[n] = flat[at : at + size].reshape(s)
             at += size
 
-    def _forward(self, keys: np.ndarray):
+    def _vectors(self) -> np.ndarray:
+        """Each input's query, key and value side by side."""
+        return np.concatenate([self.p["q"], self.p["k"], self.p["v"]], 1)
+
+    def _forward(self, keys: np.ndarray, vectors: np.ndarray):
         """Queries, keys, values, weights and their sums, mixed values, and logits."""
         p = self.p
-        x = np.concatenate([p["q"], p["k"], p["v"]], 1).take(keys, 0)
+        x = vectors.take(keys, 0)
         q, k, v = x[:, BLOCK:, :WIDTH], x[:, :, WIDTH : 2 * WIDTH], x[:, :, 2 * WIDTH :]
         s = q @ k.transpose(0, 2, 1)
         s += self.mask + p["r"][self.back]
@@ -164,13 +178,13 @@ class Attention:
         """Natural log-probability of each target, and of all classes that ``begin`` (0 or 1) marks,
         at each target's place; keys (windows x 2 BLOCK), targets (windows x BLOCK)."""
         out, starts = np.empty(targets.size, np.float32), np.empty(targets.size, np.float32)
-        sums = np.stack([np.ones_like(begin), begin], 1)
+        sums, vectors, row = np.stack([np.ones_like(begin), begin], 1), self._vectors(), np.arange(SCORED * BLOCK)
         for a in range(0, len(keys), SCORED):
             part, some = targets[a : a + SCORED].ravel(), keys[a : a + SCORED]
             if len(some) < SCORED:
                 some = np.concatenate([some, np.full((SCORED - len(some), 2 * BLOCK), PAD)])
-            logits = self._forward(some)[-1]
-            picked = logits[np.arange(len(part)), part]
+            logits = self._forward(some, vectors)[-1]
+            picked = logits[row[: len(part)], part]
             np.exp(logits, out=logits)
             whole, first = np.log(logits @ sums)[: len(part)].T
             out[a * BLOCK : a * BLOCK + len(part)] = picked - whole
@@ -178,25 +192,43 @@ class Attention:
         return out, starts
 
     def gradient(self, keys: np.ndarray, targets: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
-        """Of the mean negative log-probability, ``weight`` (0 or 1) choosing the targets."""
-        p = self.p
-        q, k, v, s, total, h, logits = self._forward(keys)
-        s /= total
-        d = np.exp(logits, out=logits)
-        share = (weight.ravel() / max(1.0, weight.sum())).astype(d.dtype)
-        d *= (share / (d @ np.ones(CLASSES, d.dtype)))[:, None]
-        d[np.arange(len(d)), targets.ravel()] -= share
-        g = {}
-        g["w"] = h.reshape(-1, VALUE).T @ d
-        dh = (d @ p["w"].T).reshape(h.shape)
-        ds = dh @ v.transpose(0, 2, 1)
-        g["v"] = _summed(keys, s.transpose(0, 2, 1) @ dh)
-        ds -= (dh * h).sum(axis=2, keepdims=True)
-        ds *= s
-        g["r"] = np.bincount(self.back.ravel(), ds.sum(axis=0).ravel(), 2 * BLOCK)
-        g["q"] = _summed(keys[:, BLOCK:], ds @ k)
-        g["k"] = _summed(keys, ds.transpose(0, 2, 1) @ q)
-        return g
+        """Of the mean negative log-probability, ``weight`` (0 or 1) choosing the targets.
+
+        Some windows at a time, so that what they need stays in a core's cache.  A window that goes
+        on from the one before it has that one's keys, whose sums meet there before they are dealt to inputs.
+        """
+        p, vectors = self.p, self._vectors()
+        on = np.append(False, (keys[1:, :BLOCK] == keys[:-1, BLOCK:]).all(axis=1))
+        begun = np.flatnonzero(~on)
+        rows = np.zeros(((len(keys) + len(begun)) * BLOCK, 2 * WIDTH + VALUE), vectors.dtype)
+        own = rows[: len(keys) * BLOCK].reshape(len(keys), BLOCK, -1)
+        early = np.empty((len(keys), BLOCK, WIDTH + VALUE), vectors.dtype)  # of the keys and values that stand before
+        w, r, share = np.zeros_like(p["w"]), np.zeros((BLOCK, 2 * BLOCK)), (weight / max(1.0, weight.sum())).astype(vectors.dtype)
+        ones = np.ones(CLASSES, vectors.dtype)
+        for a in range(0, len(keys), LEARNT):
+            b = a + LEARNT
+            q, k, v, s, total, h, logits = self._forward(keys[a:b], vectors)
+            s /= total
+            d, part = np.exp(logits, out=logits), share[a:b].ravel()
+            d *= (part / (d @ ones))[:, None]
+            d[np.arange(len(d)), targets[a:b].ravel()] -= part
+            w += h.reshape(-1, VALUE).T @ d
+            dh = (d @ p["w"].T).reshape(h.shape)
+            dv = s.transpose(0, 2, 1) @ dh
+            ds = dh @ v.transpose(0, 2, 1)
+            h *= dh
+            ds -= (h.reshape(-1, VALUE) @ ones[:VALUE]).reshape(total.shape)
+            ds *= s
+            r += ds.sum(axis=0)
+            dk = ds.transpose(0, 2, 1) @ q
+            own[a:b, :, :WIDTH] = ds @ k
+            own[a:b, :, WIDTH : 2 * WIDTH], early[a:b, :, :WIDTH] = dk[:, BLOCK:], dk[:, :BLOCK]
+            own[a:b, :, 2 * WIDTH :], early[a:b, :, WIDTH:] = dv[:, BLOCK:], dv[:, :BLOCK]
+        rows[len(keys) * BLOCK :, WIDTH:] = early[begun].reshape(-1, WIDTH + VALUE)
+        early[begun] = 0
+        own[:-1, :, WIDTH:] += early[1:]
+        each = _summed(np.concatenate([keys[:, BLOCK:].ravel(), keys[begun, :BLOCK].ravel()]), rows)
+        return {"q": each[:, :WIDTH], "k": each[:, WIDTH : 2 * WIDTH], "v": each[:, 2 * WIDTH :], "r": np.bincount(self.back.ravel(), r.ravel(), 2 * BLOCK), "w": w}
 
 
 #: What stands before a text's start weighs little.
@@ -209,16 +241,19 @@ def blocks(inputs: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndar
     Returns keys, the inputs that are to be predicted and, for each of ``inputs``, its place among them.
     """
     counts = -(-lengths // BLOCK)
-    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-    text = np.repeat(np.arange(len(lengths)), counts)
-    within = (np.arange(len(text)) - np.repeat(np.cumsum(counts) - counts, counts)) * BLOCK
-    at = within[:, None] + np.arange(-BLOCK, BLOCK)  # the input at i is the class before target i
-    inside = (at > 0) & (at < lengths[text][:, None])
-    keys = np.where(inside, inputs[np.where(inside, starts[text][:, None] + at - 1, 0)], PAD)
-    place = within[:, None] + np.arange(BLOCK)
-    real = place < lengths[text][:, None]
-    targets = np.where(real, inputs[np.where(real, starts[text][:, None] + place, 0)], 0)
-    return keys, targets, np.flatnonzero(real.ravel())
+    first, ends = np.cumsum(counts) - counts, np.cumsum(lengths)
+    place = np.arange(len(inputs)) + np.repeat(first * BLOCK - (ends - lengths), lengths)
+    targets = np.zeros((counts.sum(), BLOCK), inputs.dtype)
+    targets.ravel()[place] = inputs
+    before = np.full(targets.shape, PAD, inputs.dtype)  # the input at i is the class before target i
+    known = np.ones(len(inputs), bool)
+    known[ends[lengths > 0] - 1] = False
+    before.ravel()[place[known] + 1] = inputs[known]
+    keys = np.empty((len(targets), 2 * BLOCK), inputs.dtype)
+    keys[:, BLOCK:] = before
+    keys[1:, :BLOCK] = before[:-1]
+    keys[first[lengths > 0], :BLOCK] = PAD
+    return keys, targets, place
 
 
 # -- training -----------------------------------------------------------------------------------
@@ -504,15 +539,25 @@ def _train(windows: DataFrame, inputs: np.ndarray, class_of: np.ndarray, groups:
             raw, first, g = table.column("w").to_pylist(), table.column("first").to_pylist(), table.column("g")[0].as_py()
             model, step = Attention(pairs, class_of), 0
             model.load(start)
-            m1 = {n: np.zeros_like(x) for n, x in model.p.items()}
-            m2 = {n: np.zeros_like(x) for n, x in model.p.items()}
+            flat = model.flat()
+            model.view(flat)
+            m1, m2, grown, t = (np.zeros_like(flat) for _ in range(4))
             for a in range(0, len(raw), BATCH):
-                grown = model.gradient(*_window_blocks(raw[a : a + BATCH], first[a : a + BATCH], inputs, class_of))
+                found = model.gradient(*_window_blocks(raw[a : a + BATCH], first[a : a + BATCH], inputs, class_of))
+                np.concatenate([found[n].ravel() for n in model.SHAPES], out=grown, casting="same_kind")
                 step += 1
-                for n, x in grown.items():
-                    m1[n] = 0.9 * m1[n] + 0.1 * x
-                    m2[n] = 0.99 * m2[n] + 0.01 * x * x
-                    model.p[n] -= (rate * (m1[n] / (1 - 0.9**step)) / (np.sqrt(m2[n] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+                m1 *= 0.9
+                m1 += np.multiply(grown, 0.1, out=t)
+                m2 *= 0.99
+                np.multiply(grown, grown, out=t)
+                t *= 0.01
+                m2 += t
+                np.sqrt(m2, out=t)
+                t *= (1 - 0.99**step) ** -0.5
+                t += 1e-8
+                np.divide(m1, t, out=t)
+                t *= rate / (1 - 0.9**step)
+                flat -= t
             return pa.table({"s": [g % sets], "g": [g], "n": [float(len(raw))], "p": pa.array([(model.flat() * np.float32(len(raw))).astype("<f4").tobytes()], pa.binary())})
 
         return learn
@@ -662,6 +707,9 @@ def annotate(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", t
     at = cls[list(counts)].astype(int) if counts else np.zeros(0, int)
     heads = np.stack([np.bincount(at, [x[i] for x in counts.values()], CLASSES) for i in (1, 2)], 1)
     model = Model(path, cls, inputs, within, heads, _endings(trained, cls, size), _train(windows, inputs, class_of, groups), tokens, distinct)
+    texts = scratch.save(parts.select("id", "text", "part"), "texts")  # scoring needs no training windows beside them
+    for old in ("parts", "trained"):
+        scratch.drop(old)
 
     def run(texts, vocabulary):
         coded = vocabulary.column("ids").cast(pa.binary()).combine_chunks()
@@ -673,6 +721,6 @@ def annotate(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", t
         columns = list(zip(*out, strict=True)) or [()] * 4
         return pa.table([pa.array(ids, pa.int64()), pa.array(map(held_out, ids), pa.bool_()), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array([tokens] * len(ids), pa.int64()), pa.array(columns[2], pa.float64()), pa.array(columns[3], pa.float64())], names=[id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    even = _spread(parts)
-    both = even(parts.select("id", "text", "part")).groupBy("part").cogroup(even(vocab.select("part", "word", "c", "ids")).groupBy("part"))
+    even = _spread(texts)
+    both = even(texts).groupBy("part").cogroup(even(vocab.select("part", "word", "c", "ids")).groupBy("part"))
     return both.applyInArrow(run, f"`{id_col}` long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -188,3 +188,37 @@ def test_beats_the_base_on_held_out_texts(spark):
     got = lm.annotate(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")).where("held_out").collect()
     assert sum(r.score for r in got) > sum(r.base_score for r in got)
     assert sum(r.score > r.base_score for r in got) > 0.6 * len(got)
+
+
+def test_training_windows_are_gone_before_scoring(docs, monkeypatch):
+    """Scoring sends texts and words around; the training windows' ids don't lie on the disks beside them."""
+    held = {}
+
+    class Watched(lm.Scratch):
+        def save(self, frame, name):
+            held[name] = frame.columns
+            return super().save(frame, name)
+
+        def drop(self, name):
+            held.pop(name, None)
+            super().drop(name)
+
+    monkeypatch.setattr(lm, "Scratch", Watched)
+    got = lm.annotate(docs)
+    assert held and not any("windows" in columns for columns in held.values())
+    assert got.count() == docs.count()
+
+
+def test_gradient_in_pieces(monkeypatch):
+    """Windows taken some at a time, and keys' sums joined where a window goes on, give the same sums."""
+    rng = np.random.default_rng(6)
+    layer = lm.Attention(rng.integers(0, 9, (lm.CLASSES + 1, lm.CLASSES)).astype(float))
+    layer.p = {n: x.astype(np.float64) for n, x in layer.p.items()}
+    keys, targets, _ = lm.blocks(rng.integers(0, lm.CLASSES, 330), np.array([1, 100, 16, 17, 196]))
+    weight = rng.integers(0, 2, targets.shape).astype(float)
+    order = rng.permutation(len(keys))
+    whole, mixed = layer.gradient(keys, targets, weight), layer.gradient(keys[order], targets[order], weight[order])
+    monkeypatch.setattr(lm, "LEARNT", 3)
+    pieces = layer.gradient(keys, targets, weight)
+    for n, x in whole.items():
+        assert np.allclose(x, mixed[n], atol=1e-12) and np.allclose(x, pieces[n], atol=1e-12), n
