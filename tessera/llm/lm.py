@@ -27,11 +27,12 @@ import gc
 import math
 import operator
 import zlib
-from collections import Counter
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -56,6 +57,10 @@ GROUP = 8_192
 SCORED = 128
 #: Windows learnt from at once, of a batch; their gradients are summed.
 LEARNT = 64
+#: Parameters updated at once.
+STEP = 16_384
+#: Words whose scores are put together at once, about, and bytes of texts whose words are looked up at once, at most.
+TOGETHER, JOINED = 16_000, 1 << 29
 #: Words whose ids a task remembers.
 KNOWN = 200_000
 #: Characters of a part of the corpus, about.
@@ -70,6 +75,15 @@ def words(text: str | None) -> list[bytes]:
     return text.encode().lower().split() if text else []
 
 
+def laid_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """``words`` of all texts end to end, and how many each text has."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.string()), "")))
+    flat, bounds = split.values, split.offsets.to_numpy()
+    real = pc.binary_length(flat).to_numpy() > 0  # white space at an end of a text leaves an empty word there
+    before = np.append(0, np.cumsum(real))
+    return flat.filter(pa.array(real)).cast(pa.binary()), before[bounds[1:]] - before[bounds[:-1]]
+
+
 def held_out(doc_id) -> bool:
     return zlib.crc32(("" if doc_id is None else str(doc_id)).encode()) % 7 == 2
 
@@ -110,20 +124,38 @@ def encoded(path: str, found: list[bytes]) -> list[bytes]:
     return [coded[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def _summed(index: np.ndarray, rows: np.ndarray) -> np.ndarray:
+def _summed(index: np.ndarray, rows: np.ndarray, out: np.ndarray | None = None) -> np.ndarray:
     """Sums of ``rows`` by input: those of an input are brought together and added as one run."""
     order = np.argsort(index.astype(np.uint16), kind="stable")
     found = index[order]
     starts = np.flatnonzero(np.append(True, found[1:] != found[:-1]))
-    out = np.zeros((INPUTS, rows.shape[1]), rows.dtype)
+    if out is None:
+        out = np.zeros((INPUTS, rows.shape[1]), rows.dtype)
+    else:
+        out.fill(0)
     out[found[starts]] = np.add.reduceat(rows.take(order, 0), starts, axis=0)
     return out
 
 
+class _Space:
+    """Arrays that are written again for every piece of work, so that they stay in a core's cache."""
+
+    def __init__(self, dtype) -> None:
+        self.dtype, self.held = dtype, {}
+
+    def __call__(self, name: str, rows: int, *shape: int) -> np.ndarray:
+        found = self.held.get(name)
+        if found is None or len(found) < rows:
+            found = self.held[name] = np.empty((rows, *shape), self.dtype)
+        return found[:rows]
+
+
 class Attention:
     """One causal attention layer from inputs (classes, ``PAD``, ids) to classes."""
 
     SHAPES = {"q": (INPUTS, WIDTH), "k": (INPUTS, WIDTH), "v": (INPUTS, VALUE), "r": (2 * BLOCK,), "w": (VALUE, CLASSES)}
+    #: Each input's query, key and value side by side.
+    VECTORS = (INPUTS, 2 * WIDTH + VALUE)
 
     def __init__(self, pairs: np.ndarray, class_of: np.ndarray | None = None) -> None:
         """``pairs``: how often each class (or PAD) is followed by each class; ``class_of``: of every input."""
@@ -137,100 +169,130 @@ class Attention:
         self.mask = np.where(j <= i, 0, -1e9).astype(np.float32)
 
     def flat(self) -> np.ndarray:
-        return np.concatenate([self.p[n].ravel() for n in self.SHAPES])
+        return np.concatenate([self._vectors().ravel(), self.p["r"], self.p["w"].ravel()])
 
     def load(self, flat: np.ndarray) -> None:
         self.view(flat.astype(np.float32))
 
-    def view(self, flat: np.ndarray) -> None:
-        """Make the parameters parts of ``flat``, so that what is written there changes them."""
-        at = 0
-        for n, s in self.SHAPES.items():
-            size = math.prod(s)
-            self.p[n] = flat[at : at + size].reshape(s)
-            at += size
+    def view(self, flat: np.ndarray) -> np.ndarray:
+        """Make the parameters parts of ``flat``, so that what is written there changes them; its part that holds the vectors."""
+        vectors, self.p["r"], self.p["w"] = self.parts(flat)
+        self.p["q"], self.p["k"], self.p["v"] = self._sides(vectors)
+        return vectors
+
+    @classmethod
+    def parts(cls, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of ``flat``: vectors, ``r`` and ``w``."""
+        one = math.prod(cls.VECTORS)
+        two = one + 2 * BLOCK
+        return flat[:one].reshape(cls.VECTORS), flat[one:two], flat[two:].reshape(cls.SHAPES["w"])
+
+    @staticmethod
+    def _sides(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return x[..., :WIDTH], x[..., WIDTH : 2 * WIDTH], x[..., 2 * WIDTH :]
 
     def _vectors(self) -> np.ndarray:
-        """Each input's query, key and value side by side."""
         return np.concatenate([self.p["q"], self.p["k"], self.p["v"]], 1)
 
-    def _forward(self, keys: np.ndarray, vectors: np.ndarray):
-        """Queries, keys, values, weights and their sums, mixed values, and logits."""
-        p = self.p
-        x = vectors.take(keys, 0)
-        q, k, v = x[:, BLOCK:, :WIDTH], x[:, :, WIDTH : 2 * WIDTH], x[:, :, 2 * WIDTH :]
-        s = q @ k.transpose(0, 2, 1)
-        s += self.mask + p["r"][self.back]
+    def _bias(self) -> np.ndarray:
+        """What the distance adds to each place's weight on each key."""
+        return self.mask + self.p["r"][self.back]
+
+    def _forward(self, keys: np.ndarray, vectors: np.ndarray, bias: np.ndarray, space: _Space):
+        """Queries, keys, values, weights and their sums, mixed values, and logits.
+
+        Products are taken window by window, so a window's rounding doesn't depend on the others or on
+        its place among them: BLAS may round the rows of one product of matrices differently.
+        """
+        n = len(keys)
+        x = vectors.take(keys, 0, out=space("x", n, 2 * BLOCK, self.VECTORS[1]), mode="clip")
+        q, k, v = self._sides(x)
+        q = q[:, BLOCK:]
+        s = np.matmul(q, k.transpose(0, 2, 1), out=space("s", n, BLOCK, 2 * BLOCK))
+        s += bias
         early = np.flatnonzero(keys[:, 0] == PAD)  # before a window's first key that isn't PAD all are
         if len(early):
             s[early] += _PENALTY[keys[early]][:, None, :]
         if s.size and s.max() > 60:
             np.minimum(s, 60, out=s)
         np.exp(s, out=s)
-        total = (s.reshape(-1, 2 * BLOCK) @ np.ones(2 * BLOCK, s.dtype)).reshape(s.shape[0], BLOCK, 1)
-        h = s @ v
+        total = (s.reshape(-1, 2 * BLOCK) @ _ONES[: 2 * BLOCK].astype(s.dtype)).reshape(n, BLOCK, 1)
+        h = np.matmul(s, v, out=space("h", n, BLOCK, VALUE))
         h /= total
-        logits = h.reshape(-1, VALUE) @ p["w"]
-        logits += self.pair.take(self.class_of.take(keys[:, BLOCK:].ravel()), 0)
+        logits = np.matmul(h, self.p["w"], out=space("logits", n, BLOCK, CLASSES)).reshape(-1, CLASSES)
+        near = space("pair", n * BLOCK, CLASSES) if self.pair.dtype == space.dtype else None
+        logits += self.pair.take(self.class_of.take(keys[:, BLOCK:].ravel()), 0, out=near, mode="clip")
         return q, k, v, s, total, h, logits
 
     def log_probs(self, keys: np.ndarray, targets: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Natural log-probability of each target, and of all classes that ``begin`` (0 or 1) marks,
         at each target's place; keys (windows x 2 BLOCK), targets (windows x BLOCK)."""
         out, starts = np.empty(targets.size, np.float32), np.empty(targets.size, np.float32)
-        sums, vectors, row = np.stack([np.ones_like(begin), begin], 1), self._vectors(), np.arange(SCORED * BLOCK)
+        sums, vectors, row = np.stack([np.ones_like(begin), begin], 1), self._vectors(), np.arange(SCORED * BLOCK) * CLASSES
+        bias, space = self._bias(), _Space(vectors.dtype)
         for a in range(0, len(keys), SCORED):
             part, some = targets[a : a + SCORED].ravel(), keys[a : a + SCORED]
             if len(some) < SCORED:
-                some = np.concatenate([some, np.full((SCORED - len(some), 2 * BLOCK), PAD)])
-            logits = self._forward(some, vectors)[-1]
-            picked = logits[row[: len(part)], part]
+                some = np.concatenate([some, np.full((SCORED - len(some), 2 * BLOCK), PAD, some.dtype)])
+            logits = self._forward(some, vectors, bias, space)[-1]
+            picked = logits.ravel().take(row[: len(part)] + part)
             np.exp(logits, out=logits)
             whole, first = np.log(logits @ sums)[: len(part)].T
-            out[a * BLOCK : a * BLOCK + len(part)] = picked - whole
-            starts[a * BLOCK : a * BLOCK + len(part)] = first - whole
+            np.subtract(picked, whole, out=out[a * BLOCK : a * BLOCK + len(part)])
+            np.subtract(first, whole, out=starts[a * BLOCK : a * BLOCK + len(part)])
         return out, starts
 
     def gradient(self, keys: np.ndarray, targets: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
-        """Of the mean negative log-probability, ``weight`` (0 or 1) choosing the targets.
+        """Of the mean negative log-probability, ``weight`` (0 or 1) choosing the targets."""
+        vectors = self._vectors()
+        out = np.empty(vectors.size + 2 * BLOCK + VALUE * CLASSES, vectors.dtype)
+        self.gradient_into(out, keys, targets, weight, vectors, _Space(vectors.dtype))
+        each, r, w = self.parts(out)
+        return dict(zip("qkvrw", (*self._sides(each), r, w), strict=True))
+
+    def gradient_into(self, out: np.ndarray, keys: np.ndarray, targets: np.ndarray, weight: np.ndarray, vectors: np.ndarray, space: _Space) -> None:
+        """The gradient, laid out as ``flat`` is.
 
         Some windows at a time, so that what they need stays in a core's cache.  A window that goes
         on from the one before it has that one's keys, whose sums meet there before they are dealt to inputs.
         """
-        p, vectors = self.p, self._vectors()
-        on = np.append(False, (keys[1:, :BLOCK] == keys[:-1, BLOCK:]).all(axis=1))
-        begun = np.flatnonzero(~on)
-        rows = np.zeros(((len(keys) + len(begun)) * BLOCK, 2 * WIDTH + VALUE), vectors.dtype)
-        own = rows[: len(keys) * BLOCK].reshape(len(keys), BLOCK, -1)
-        early = np.empty((len(keys), BLOCK, WIDTH + VALUE), vectors.dtype)  # of the keys and values that stand before
-        w, r, share = np.zeros_like(p["w"]), np.zeros((BLOCK, 2 * BLOCK)), (weight / max(1.0, weight.sum())).astype(vectors.dtype)
-        ones = np.ones(CLASSES, vectors.dtype)
-        for a in range(0, len(keys), LEARNT):
-            b = a + LEARNT
-            q, k, v, s, total, h, logits = self._forward(keys[a:b], vectors)
+        n, both, w = len(keys), WIDTH + VALUE, self.p["w"]
+        begun = np.flatnonzero(np.append(True, (keys[1:, :BLOCK] != keys[:-1, BLOCK:]).any(axis=1)))
+        rows = space("rows", (n + len(begun)) * BLOCK, self.VECTORS[1])
+        own = rows[: n * BLOCK].reshape(n, BLOCK, -1)
+        early = space("early", n, BLOCK, both)  # of the keys and values that stand before
+        each, r, dw = self.parts(out)
+        dw.fill(0)
+        back, share = np.zeros((BLOCK, 2 * BLOCK)), (weight * (1 / max(1.0, weight.sum()))).astype(vectors.dtype)
+        bias, ones, row, wt = self._bias(), _ONES.astype(vectors.dtype), np.arange(LEARNT * BLOCK) * CLASSES, np.ascontiguousarray(w.T)
+        for a in range(0, n, LEARNT):
+            b = min(n, a + LEARNT)
+            q, k, v, s, total, h, logits = self._forward(keys[a:b], vectors, bias, space)
             s /= total
             d, part = np.exp(logits, out=logits), share[a:b].ravel()
             d *= (part / (d @ ones))[:, None]
-            d[np.arange(len(d)), targets[a:b].ravel()] -= part
-            w += h.reshape(-1, VALUE).T @ d
-            dh = (d @ p["w"].T).reshape(h.shape)
-            dv = s.transpose(0, 2, 1) @ dh
-            ds = dh @ v.transpose(0, 2, 1)
+            d.ravel()[row[: len(d)] + targets[a:b].ravel()] -= part
+            dw += h.reshape(-1, VALUE).T @ d
+            dh = np.matmul(d, wt, out=space("dh", len(d), VALUE)).reshape(h.shape)
+            dv = np.matmul(s.transpose(0, 2, 1), dh, out=space("dv", b - a, 2 * BLOCK, VALUE))
+            ds = np.matmul(dh, v.transpose(0, 2, 1), out=space("ds", b - a, BLOCK, 2 * BLOCK))
             h *= dh
             ds -= (h.reshape(-1, VALUE) @ ones[:VALUE]).reshape(total.shape)
             ds *= s
-            r += ds.sum(axis=0)
-            dk = ds.transpose(0, 2, 1) @ q
-            own[a:b, :, :WIDTH] = ds @ k
+            back += ds.sum(axis=0)
+            dk = np.matmul(ds.transpose(0, 2, 1), q, out=space("dk", b - a, 2 * BLOCK, WIDTH))
+            own[a:b, :, :WIDTH] = np.matmul(ds, k, out=space("dq", b - a, BLOCK, WIDTH))
             own[a:b, :, WIDTH : 2 * WIDTH], early[a:b, :, :WIDTH] = dk[:, BLOCK:], dk[:, :BLOCK]
             own[a:b, :, 2 * WIDTH :], early[a:b, :, WIDTH:] = dv[:, BLOCK:], dv[:, :BLOCK]
-        rows[len(keys) * BLOCK :, WIDTH:] = early[begun].reshape(-1, WIDTH + VALUE)
+        rows[n * BLOCK :, :WIDTH] = 0
+        rows[n * BLOCK :, WIDTH:] = early[begun].reshape(-1, both)
         early[begun] = 0
         own[:-1, :, WIDTH:] += early[1:]
-        each = _summed(np.concatenate([keys[:, BLOCK:].ravel(), keys[begun, :BLOCK].ravel()]), rows)
-        return {"q": each[:, :WIDTH], "k": each[:, WIDTH : 2 * WIDTH], "v": each[:, 2 * WIDTH :], "r": np.bincount(self.back.ravel(), r.ravel(), 2 * BLOCK), "w": w}
+        r[:] = np.bincount(self.back.ravel(), back.ravel(), 2 * BLOCK)
+        _summed(np.concatenate([keys[:, BLOCK:].ravel(), keys[begun, :BLOCK].ravel()]), rows, each)
 
 
+_ONES = np.ones(max(2 * BLOCK, CLASSES), np.float32)
 #: What stands before a text's start weighs little.
 _PENALTY = np.where(np.arange(INPUTS) == PAD, -4, 0).astype(np.float32)
 
@@ -280,47 +342,55 @@ def _parts(docs: DataFrame, path: str, id_col: str, text: str) -> DataFrame:
         for b in slices(batches):
             ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             parts, windows = [], []
-            found = [None if held_out(i) else words(t) for i, t in zip(ids, texts, strict=True)]
+            unseen = np.array(list(map(held_out, ids)), bool)
+            laid, lengths = laid_words(b.column(1).filter(pa.array(~unseen)))
+            found = laid.dictionary_encode()
+            names = found.dictionary.to_pylist()
             if len(known) > KNOWN:
                 known.clear()
-            new = list(set().union(*filter(None, found)).difference(known))
+            new = [w for w in names if w not in known]
             known.update(zip(new, encoded(path, new), strict=True))
-            for t, w in zip(texts, found, strict=True):
+            coded, bounds = map([known[w] for w in names].__getitem__, found.indices.to_pylist()), iter(lengths.tolist())
+            for t, out in zip(texts, unseen.tolist(), strict=True):
                 if size > PART:
                     piece, size = piece + 1, 0
                 size += len(t or "")
                 parts.append(pid << 24 | piece)
-                windows.append([] if w is None else cut(b"".join(map(known.__getitem__, w))))
+                windows.append([] if out else cut(b"".join(islice(coded, next(bounds)))))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(parts, pa.int64()), pa.array(windows, pa.list_(pa.binary()))], ["id", "text", "part", "windows"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
     return rows.mapInArrow(run, "id long, text string, part long, windows array<binary>")
 
 
+_THE_END = pa.array([b""])
+
+
 def _counted(parts: DataFrame) -> DataFrame:
     """``(part, word, n)``: every word of a part with its count in training documents; "" is the end."""
 
     def run(batches):
-        part, n = None, Counter()
+        part, learnt, unseen = None, [_THE_END[:0]], [_THE_END[:0]]
 
         def rows():
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part)), pa.array(list(n), pa.binary()), pa.array(list(n.values()), pa.int64())], ["part", "word", "n"])
+            found = pa.chunked_array(learnt + unseen).dictionary_encode()
+            names, codes = found.chunk(0).dictionary, np.concatenate([c.indices.to_numpy() for c in found.chunks])
+            n = np.bincount(codes[: sum(map(len, learnt))], minlength=len(names)).astype(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part)), names, pa.array(n)], ["part", "word", "n"])
 
         for b in batches:
-            for i, t, p in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True):
-                if p != part:
-                    if n:
+            of = b.column(2).to_numpy()
+            cuts = [0, *(np.flatnonzero(of[1:] != of[:-1]) + 1).tolist(), len(of)]
+            for x, y in zip(cuts, cuts[1:], strict=False):
+                if y > x and of[x] != part:
+                    if part is not None:
                         yield rows()
-                    part, n = p, Counter()
-                found = words(t)
-                if held_out(i):
-                    for w in found:
-                        n.setdefault(w, 0)
-                    n.setdefault(b"", 0)
-                else:
-                    n.update(found)
-                    n[b""] += 1
-        if n:
+                    part, learnt, unseen = int(of[x]), [_THE_END[:0]], [_THE_END[:0]]
+                texts, out = b.column(1).slice(x, y - x), np.array(list(map(held_out, b.column(0).slice(x, y - x).to_pylist())), bool)
+                for held, keep in ((learnt, ~out), (unseen, out)):
+                    held.append(laid_words(texts.filter(pa.array(keep)))[0])
+                    held.append(_THE_END.take(pa.array(np.zeros(keep.sum(), np.int64))))
+        if part is not None:
             yield rows()
 
     return parts.select("id", "text", "part").mapInArrow(run, "part long, word binary, n long")
@@ -498,8 +568,7 @@ def _window_blocks(raw: list[bytes], first: list[bool], inputs: np.ndarray, clas
     sizes = np.fromiter(map(len, raw), np.int64, len(raw)) // 2
     ends = (sizes < WINDOW).astype(np.int64)
     lengths = sizes + ends
-    laid = np.full(lengths.sum(), END)
-    laid[np.arange(sizes.sum()) + np.repeat(np.cumsum(ends) - ends, sizes)] = inputs[np.frombuffer(b"".join(raw), "<u2")]
+    laid = np.insert(inputs[np.frombuffer(b"".join(raw), "<u2")], np.cumsum(sizes)[ends > 0], END)
     keys, targets, real = blocks(laid, lengths)
     targets = class_of[targets]
     weights = np.zeros(targets.size, np.float32)
@@ -519,6 +588,8 @@ def _free(frame: DataFrame) -> None:
 def _train(windows: DataFrame, inputs: np.ndarray, class_of: np.ndarray, groups: int) -> Attention:
     """The layer on top of class pair counts, trained in rounds of averaged parameters by ``windows(g, h, w, first)``."""
 
+    inputs = inputs.astype(np.uint16)
+
     def count(batches):
         n = np.zeros((CLASSES + 1) * CLASSES, np.int64)
         for b in batches:
@@ -538,26 +609,27 @@ def _train(windows: DataFrame, inputs: np.ndarray, class_of: np.ndarray, groups:
             table = table.sort_by([("h", "ascending"), ("w", "ascending")])
             raw, first, g = table.column("w").to_pylist(), table.column("first").to_pylist(), table.column("g")[0].as_py()
             model, step = Attention(pairs, class_of), 0
-            model.load(start)
-            flat = model.flat()
-            model.view(flat)
+            flat = start.astype(np.float32)
+            vectors, space = model.view(flat), _Space(flat.dtype)
             m1, m2, grown, t = (np.zeros_like(flat) for _ in range(4))
             for a in range(0, len(raw), BATCH):
-                found = model.gradient(*_window_blocks(raw[a : a + BATCH], first[a : a + BATCH], inputs, class_of))
-                np.concatenate([found[n].ravel() for n in model.SHAPES], out=grown, casting="same_kind")
+                model.gradient_into(grown, *_window_blocks(raw[a : a + BATCH], first[a : a + BATCH], inputs, class_of), vectors, space)
                 step += 1
-                m1 *= 0.9
-                m1 += np.multiply(grown, 0.1, out=t)
-                m2 *= 0.99
-                np.multiply(grown, grown, out=t)
-                t *= 0.01
-                m2 += t
-                np.sqrt(m2, out=t)
-                t *= (1 - 0.99**step) ** -0.5
-                t += 1e-8
-                np.divide(m1, t, out=t)
-                t *= rate / (1 - 0.9**step)
-                flat -= t
+                # Adam with decays 0.9 and 0.99; the sums are kept without the factors 0.1 and 0.01 of what is added
+                up = (0.01 / (1 - 0.99**step)) ** 0.5
+                down = 0.1 * rate / (1 - 0.9**step) / up
+                for x in range(0, len(flat), STEP):  # in pieces that stay in a core's cache
+                    new, sums, squares, held = grown[x : x + STEP], m1[x : x + STEP], m2[x : x + STEP], t[x : x + STEP]
+                    sums *= 0.9
+                    sums += new
+                    squares *= 0.99
+                    new *= new
+                    squares += new
+                    np.sqrt(squares, out=held)
+                    held += 1e-8 / up
+                    np.divide(sums, held, out=held)
+                    held *= down
+                    flat[x : x + STEP] -= held
             return pa.table({"s": [g % sets], "g": [g], "n": [float(len(raw))], "p": pa.array([(model.flat() * np.float32(len(raw))).astype("<f4").tobytes()], pa.binary())})
 
         return learn
@@ -617,48 +689,60 @@ class Model:
         after = self.endings[np.concatenate([cls[:1], cls[:-1]]), ids]
         return {"c": c, "end": end, "size": size, "first": first, "cls": cls, "inputs": inputs, "within": self.within[ids], "after": after, "share": share, "spell": spell, "stop": self.endings[last, -1], "base": np.log10((c + 1) / (self.tokens + self.distinct + 1))}
 
-    def score(self, texts, names: list[bytes], counts: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> list[tuple[int, int, float, float]]:
-        """``(n_tokens, n_known, base_score, score)`` of each text of an iterator; ``names`` has all
-        their words, with counts, and with ids end to end, so many each."""
-        number = dict(zip(names, range(len(names)), strict=True))
-        v = self._words(number[b""], counts, ids, sizes)
-        find, out = number.__getitem__, []
-        todo: list[np.ndarray] = []
-        for t, last in _with_last(texts):
-            todo.append(np.append(np.fromiter(map(find, words(t)), np.int64), v["end"]))
-            if not last and sum(map(len, todo)) <= 100_000:
-                continue
-            w = np.concatenate(todo)
-            lengths = np.array([len(x) for x in todo])
-            starts, todo = np.cumsum(lengths) - lengths, []
-            n = v["size"][w]
-            at = np.cumsum(n) - n
-            flat = np.repeat(v["first"][w] - at, n) + np.arange(n.sum())
-            keys, targets, real = blocks(v["inputs"][flat], np.add.reduceat(n, starts))
-            logs, begin = self.layer.log_probs(keys, self.layer.class_of[targets], self.begin)
-            logs, begin = logs[real], begin[real]
-            each = np.exp(logs)
-            each *= v["within"][flat]
-            each += v["after"][flat]
-            each *= 0.5
-            each[at] = v["within"][flat[at]]
-            stop = np.append(np.exp(begin[at[1:]]), 1)  # the next word's place tells whether this one stops
-            stop = 0.5 * (stop + v["stop"][w])
-            spelled = np.exp(np.maximum(np.add.reduceat(np.log(each).astype(np.float64), at) + np.log(stop), -700))
-            scores = (logs[at].astype(np.float64) - begin[at]) / math.log(10) + np.log10(v["share"][w] + v["spell"][w] * spelled)
-            known = v["c"][w] > 0
-            out += zip(lengths.tolist(), *(np.add.reduceat(x, starts).tolist() for x in (known.astype(np.int64), v["base"][w], scores)), strict=True)
+    def score(self, texts, names, counts: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> list[tuple[int, int, float, float]]:
+        """``(n_tokens, n_known, base_score, score)`` of each text; ``names`` has all their words,
+        with counts, and with ids end to end, so many each."""
+        names = pa.array(names, pa.binary())
+        v = self._words(pc.index(names, b"").as_py(), counts, ids, sizes)
+        out = []
+        for numbers, todo in _numbered(texts, names):
+            for w, lengths in _some(numbers, todo, v["end"]):
+                out += self._scored(v, w, lengths)
         return out
 
-
-def _with_last(items):
-    """Each item, and whether it is the last."""
-    items = iter(items)
-    for item in items:
-        for after in items:
-            yield item, False
-            item = after
-        yield item, True
+    def _scored(self, v: dict, w: np.ndarray, lengths: np.ndarray) -> list[tuple[int, int, float, float]]:
+        """The same of texts whose words' numbers, each text's end included, are ``w``."""
+        starts = np.cumsum(lengths) - lengths
+        n = v["size"][w]
+        at = np.cumsum(n) - n
+        flat = np.repeat(v["first"][w] - at, n) + np.arange(n.sum())
+        keys, targets, real = blocks(v["inputs"][flat], np.add.reduceat(n, starts))
+        logs, begin = self.layer.log_probs(keys, self.layer.class_of[targets], self.begin)
+        logs, begin = logs[real], begin[real]
+        each = np.exp(logs)
+        each *= v["within"][flat]
+        each += v["after"][flat]
+        each *= 0.5
+        each[at] = v["within"][flat[at]]
+        stop = np.append(np.exp(begin[at[1:]]), 1)  # the next word's place tells whether this one stops
+        stop = 0.5 * (stop + v["stop"][w])
+        spelled = np.exp(np.maximum(np.add.reduceat(np.log(each).astype(np.float64), at) + np.log(stop), -700))
+        scores = (logs[at].astype(np.float64) - begin[at]) / math.log(10) + np.log10(v["share"][w] + v["spell"][w] * spelled)
+        known = v["c"][w] > 0
+        return list(zip(lengths.tolist(), *(np.add.reduceat(x, starts).tolist() for x in (known.astype(np.int64), v["base"][w], scores)), strict=True))
+
+
+def _numbered(texts, names: pa.Array):
+    """Of an array of texts, or of any other iterable, piece by piece: all words' places in ``names``, and how many words each text has."""
+    texts = texts if isinstance(texts, pa.ChunkedArray) else pa.chunked_array([pa.array(list(texts), pa.string())])
+    for piece in texts.chunks if texts.nbytes > JOINED else [pa.concat_arrays(texts.chunks)] if texts.num_chunks else []:
+        laid, lengths = laid_words(piece)
+        found = laid.dictionary_encode()
+        places = pc.index_in(found.dictionary, value_set=names)
+        if places.null_count:
+            raise KeyError("a text has words that names lacks")
+        yield places.to_numpy().take(found.indices.to_numpy()), lengths
+
+
+def _some(numbers: np.ndarray, lengths: np.ndarray, end: int):
+    """Whole texts at a time, about ``TOGETHER`` words if they aren't longer: words with each text's end, and how many."""
+    ends = np.cumsum(lengths)
+    a = 0
+    while a < len(lengths):
+        before = ends[a] - lengths[a]
+        b = max(a + 1, int(np.searchsorted(ends, before + TOGETHER, "right")))
+        yield np.insert(numbers[before : ends[b - 1]], ends[a:b] - before, end), lengths[a:b] + 1
+        a = b
 
 
 def _spread(parts: DataFrame):
@@ -715,9 +799,8 @@ def annotate(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", t
         coded = vocabulary.column("ids").cast(pa.binary()).combine_chunks()
         bounds = np.frombuffer(coded.buffers()[1], np.int32)[coded.offset : coded.offset + len(coded) + 1]
         laid = np.frombuffer(coded.buffers()[2], "<u2", (bounds[-1] - bounds[0]) // 2, bounds[0])
-        each = (t for b in slices(texts.select(["text"]).to_batches()) for t in b.column(0).to_pylist())
         ids = texts.column("id").to_pylist()
-        out = model.score(each, vocabulary.column("word").to_pylist(), vocabulary.column("c").to_numpy(), laid, np.diff(bounds).astype(np.int64) // 2)
+        out = model.score(texts.column("text"), vocabulary.column("word").combine_chunks(), vocabulary.column("c").to_numpy(), laid, np.diff(bounds).astype(np.int64) // 2)
         columns = list(zip(*out, strict=True)) or [()] * 4
         return pa.table([pa.array(ids, pa.int64()), pa.array(map(held_out, ids), pa.bool_()), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array([tokens] * len(ids), pa.int64()), pa.array(columns[2], pa.float64()), pa.array(columns[3], pa.float64())], names=[id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 

@@ -1,10 +1,14 @@
 """Language-model scores: the fixed columns by brute force, the model by held-out texts."""
 
 import math
+import os
+import subprocess
+import sys
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from tessera.llm import lm
 
@@ -222,3 +226,28 @@ def test_gradient_in_pieces(monkeypatch):
     pieces = layer.gradient(keys, targets, weight)
     for n, x in whole.items():
         assert np.allclose(x, mixed[n], atol=1e-12) and np.allclose(x, pieces[n], atol=1e-12), n
+
+
+def test_words_laid_end_to_end():
+    texts = ["A b\x0bc\x0c\x0d d ", None, "", " \t\n", "İÄ  x y\x1cz\x85", "one", "\x00 q"]
+    laid, lengths = lm.laid_words(pa.array(texts, pa.string()))
+    assert laid.to_pylist() == [w for t in texts for w in lm.words(t)]
+    assert lengths.tolist() == [len(lm.words(t)) for t in texts]
+
+
+def test_rounding_does_not_depend_on_the_place():
+    """With the kernels of processors that round the rows of one large product differently, too."""
+    code = """if True:
+        import numpy as np
+        from tessera.llm import lm
+        rng = np.random.default_rng(5)
+        layer = lm.Attention(rng.integers(0, 99, (lm.CLASSES + 1, lm.CLASSES)).astype(float))
+        keys, targets = rng.integers(0, lm.CLASSES, (400, 2 * lm.BLOCK)), rng.integers(0, lm.CLASSES, (400, lm.BLOCK))
+        begin = (np.arange(lm.CLASSES) < 50).astype(np.float32)
+        one = [x.reshape(targets.shape) for x in layer.log_probs(keys, targets, begin)]
+        for by in (1, 5, 77):
+            other = layer.log_probs(np.roll(keys, by, 0), np.roll(targets, by, 0), begin)
+            assert all((np.roll(a, by, 0) == b.reshape(a.shape)).all() for a, b in zip(one, other)), by
+    """
+    for kernels in ("Haswell", "Zen", "SkylakeX"):  # one that this processor can't run is ignored
+        subprocess.run([sys.executable, "-c", code], env=os.environ | {"OPENBLAS_CORETYPE": kernels, "PYTHONPATH": os.pathsep.join(sys.path)}, check=True, timeout=120)
