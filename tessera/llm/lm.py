@@ -84,6 +84,19 @@ def laid_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return flat.filter(pa.array(real)).cast(pa.binary()), before[bounds[1:]] - before[bounds[:-1]]
 
 
+def _bounds(column: pa.Array) -> tuple[memoryview, np.ndarray]:
+    """The bytes under a binary column without nulls, and where each of its rows begins and the last ends."""
+    bounds = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int32)
+    return memoryview(column.buffers()[2] or b""), bounds
+
+
+def _rows(column: pa.Array) -> list[bytes]:
+    """A binary column's rows; ``to_pylist`` takes several times as long."""
+    data, bounds = _bounds(column)
+    held, ends = bytes(data[bounds[0] : bounds[-1]]), (bounds - bounds[0]).tolist()
+    return [held[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+
+
 def held_out(doc_id) -> bool:
     return zlib.crc32(("" if doc_id is None else str(doc_id)).encode()) % 7 == 2
 
@@ -340,21 +353,21 @@ def _parts(docs: DataFrame, path: str, id_col: str, text: str) -> DataFrame:
     def run(batches):
         pid, piece, size, known = TaskContext.get().partitionId(), 0, 0, {}
         for b in slices(batches):
-            ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             parts, windows = [], []
-            unseen = np.array(list(map(held_out, ids)), bool)
+            unseen = np.array(list(map(held_out, b.column(0).to_pylist())), bool)
+            chars = pc.fill_null(pc.utf8_length(b.column(1)), 0).to_numpy().tolist()
             laid, lengths = laid_words(b.column(1).filter(pa.array(~unseen)))
             found = laid.dictionary_encode()
-            names = found.dictionary.to_pylist()
+            names = _rows(found.dictionary)
             if len(known) > KNOWN:
                 known.clear()
             new = [w for w in names if w not in known]
             known.update(zip(new, encoded(path, new), strict=True))
-            coded, bounds = map([known[w] for w in names].__getitem__, found.indices.to_pylist()), iter(lengths.tolist())
-            for t, out in zip(texts, unseen.tolist(), strict=True):
+            coded, bounds = map([known[w] for w in names].__getitem__, found.indices.to_numpy().tolist()), iter(lengths.tolist())
+            for t, out in zip(chars, unseen.tolist(), strict=True):
                 if size > PART:
                     piece, size = piece + 1, 0
-                size += len(t or "")
+                size += t
                 parts.append(pid << 24 | piece)
                 windows.append([] if out else cut(b"".join(islice(coded, next(bounds)))))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(parts, pa.int64()), pa.array(windows, pa.list_(pa.binary()))], ["id", "text", "part", "windows"])
@@ -408,31 +421,30 @@ def _vocabulary(counted: DataFrame, path: str) -> DataFrame:
     def run(batches):
         names = ["part", "word", "c", "ids", "first"]
 
-        def finish(t: pa.Table, found: list[bytes], starts: np.ndarray):
-            sizes = np.diff(np.append(starts, len(found)))
+        def finish(t: pa.RecordBatch, starts: np.ndarray):
+            sizes = np.diff(np.append(starts, t.num_rows))
             total = np.add.reduceat(t.column(2).to_numpy(), starts)
-            named = [found[i] for i in starts if found[i]]
-            coded = dict(zip(named, encoded(path, named), strict=True))
-            ids = [coded.get(found[i], b"") for i in starts]
+            named = _rows(t.column(1).take(pa.array(starts)))
+            coded = iter(encoded(path, [w for w in named if w]))
+            ids = [next(coded) if w else b"" for w in named]
             which = pa.array(np.repeat(np.arange(len(starts)), sizes))
-            first = np.zeros(len(found), bool)
+            first = np.zeros(t.num_rows, bool)
             first[starts] = True
-            columns = [t.column(0), t.column(1), pa.array(np.repeat(total, sizes)), pa.array(ids, pa.binary()).take(which), pa.array(first)]
-            yield from pa.table(columns, names=names).combine_chunks().to_batches()
+            return pa.RecordBatch.from_arrays([t.column(0), t.column(1), pa.array(np.repeat(total, sizes)), pa.array(ids, pa.binary()).take(which), pa.array(first)], names)
 
         held = None
         for b in batches:
-            t = pa.Table.from_batches([b])
-            t = pa.concat_tables([held, t]) if held is not None else t
-            found = t.column(1).to_pylist()
-            starts = np.flatnonzero([True, *map(operator.ne, found, found[1:])]) if found else np.zeros(0, int)
-            if len(starts) > 1:
-                cut = int(starts[-1])
-                yield from finish(t.slice(0, cut), found[:cut], starts[:-1])
-                t = t.slice(cut)
-            held = t if t.num_rows else None
+            t = b if held is None else pa.concat_batches([held, b])
+            if not t.num_rows:
+                continue
+            w = t.column(1)
+            starts = np.append(0, np.flatnonzero(pc.not_equal(w.slice(1), w.slice(0, len(w) - 1)).to_numpy(zero_copy_only=False)) + 1)
+            cut = int(starts[-1])
+            if cut:
+                yield finish(t.slice(0, cut), starts[:-1])
+            held = t.slice(cut)
         if held is not None:
-            yield from finish(held, held.column(1).to_pylist(), np.zeros(1, int))
+            yield finish(held, np.zeros(1, int))
 
     together = counted.select("part", "word", "n").repartition("word").sortWithinPartitions("word")
     return together.mapInArrow(run, "part long, word binary, c long, ids binary, first boolean")
@@ -440,8 +452,8 @@ def _vocabulary(counted: DataFrame, path: str) -> DataFrame:
 
 def _laid_out(b: pa.RecordBatch, column: int) -> tuple[np.ndarray, np.ndarray]:
     """The ids of all rows of a binary column end to end, and how many each row has."""
-    raw = b.column(column).to_pylist()
-    return np.frombuffer(b"".join(raw), "<u2").astype(np.int64), np.fromiter(map(len, raw), np.int64, len(raw)) // 2
+    data, bounds = _bounds(b.column(column))
+    return np.frombuffer(data[bounds[0] : bounds[-1]], "<u2").astype(np.int64), np.diff(bounds).astype(np.int64) // 2
 
 
 def _cells(counted: DataFrame, size: int) -> np.ndarray:
@@ -496,7 +508,7 @@ def _near(windows: DataFrame, own: np.ndarray, size: int) -> np.ndarray:
 
     def run(batches):
         total = np.zeros(size * OWN, np.int64)
-        for b in batches:
+        for b in slices(batches, 512):
             ids, sizes = _laid_out(b, 0)
             window, cls = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), own[ids]
             within = np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
@@ -592,7 +604,7 @@ def _train(windows: DataFrame, inputs: np.ndarray, class_of: np.ndarray, groups:
 
     def count(batches):
         n = np.zeros((CLASSES + 1) * CLASSES, np.int64)
-        for b in batches:
+        for b in slices(batches, 64):
             k, t, w = _window_blocks(b.column(0).to_pylist(), b.column(1).to_pylist(), inputs, class_of)
             n += np.bincount((class_of[k[:, BLOCK:]] * CLASSES + t)[w > 0].ravel(), minlength=len(n))
         at = np.flatnonzero(n)
